@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, mixing
+from ledgerline.llm import exact_dedup, mixing, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_document_tokens(_table(spark, sf_dir, "documents"))
+    return counts.select(F.col("id").alias("doc_id"), "n_tokens")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"
+    )
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -24,6 +36,52 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+_OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM d)
+), t AS (
+  SELECT doc_id, i, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS g
+  FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), r AS (SELECT doc_id, g FROM t WHERE g IS NOT NULL GROUP BY doc_id, g HAVING count(*) > 1),
+c AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n
+  FROM t JOIN r USING (doc_id, g), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+), wn AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY doc_id),
+l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (
+  SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS x
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
+ln AS (
+  SELECT doc_id, source, len(x) AS n,
+         translate(array_to_string(x, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
+  FROM lw
+), h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+f AS (
+  SELECT source, line, count(DISTINCT doc_id) AS n FROM ln GROUP BY source, line
+), hot AS (
+  SELECT f.source, f.line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source
+  WHERE f.n > 20 AND 100 * f.n > 1 * h.docs
+), gone AS (
+  SELECT ln.doc_id, sum(ln.n) AS n FROM ln JOIN hot ON ln.source IS NOT DISTINCT FROM hot.source AND ln.line = hot.line
+  GROUP BY ln.doc_id
+), s AS (
+  SELECT d.doc_id, coalesce(wn.n, 0) AS n_words, coalesce(wn.chars, 0) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+  FROM d LEFT JOIN wn USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_removed_words <= 50 * n_words AS kept,
+       CAST(n_removed_words AS BIGINT) AS n_removed_words
+FROM s
+"""
+
 _OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -42,10 +100,12 @@ FROM n JOIN k USING (text_sha256)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
+        "op5_quality_rules": op5_quality_rules,
         "op8_source_mixing": op8_source_mixing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": _OP10_SQL}
+    return {"op5_quality_rules": _OP5_SQL, "op10_exact_dedup": _OP10_SQL}

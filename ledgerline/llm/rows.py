@@ -180,7 +180,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Everything but ASCII letters, digits and bytes of other scripts.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[128:] = False
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    NOT_ALNUM[_a:_b] = False
+
+
+def word_spans(
+    data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = _IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the number of words before it.
 
     data: bytes of texts joined without separators; words never cross a bound.
@@ -188,7 +197,7 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(bounds), np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~separator[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cut = bounds[:-1][bounds[:-1] < len(data)]
@@ -203,3 +212,21 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
+
+
+def text_of(at: np.ndarray) -> np.ndarray:
+    """For each item the number of its text, from the items before each text."""
+    return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def sequence_hash(values: np.ndarray) -> np.ndarray:
+    """Prefix sums for :func:`range_hash` over 64-bit items instead of bytes."""
+    power, _ = _power_table(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix64(values) * power[: len(values)], out=out[1:])
+    return out
+
+
+def lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """One list per text."""
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
