@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, mixing, quality_rules, token_counts
+from ledgerline.llm import exact_dedup, mixing, quality_classifier, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("id").alias("doc_id"), "n_tokens")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    columns = ["p_quality", "p_toxic", "host_posterior", "path_posterior", "posterior"]
+    return judged.select(F.col("id").alias("doc_id"), *(F.round(c, 9).alias(c) for c in columns), "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -101,6 +107,7 @@ FROM n JOIN k USING (text_sha256)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_quality_classifier": op3_quality_classifier,
         "op5_quality_rules": op5_quality_rules,
         "op8_source_mixing": op8_source_mixing,
         "op10_exact_dedup": op10_exact_dedup,
