@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, mixing, quality_classifier, quality_rules, token_counts
+from ledgerline.llm import exact_dedup, html_extraction, mixing, quality_classifier, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extraction.extract_main_text(_table(spark, sf_dir, "pages"))
+    return texts.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_document_tokens(_table(spark, sf_dir, "documents"))
     return counts.select(F.col("id").alias("doc_id"), "n_tokens")
@@ -106,6 +111,7 @@ FROM n JOIN k USING (text_sha256)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_token_counts": op2_token_counts,
         "op3_quality_classifier": op3_quality_classifier,
         "op5_quality_rules": op5_quality_rules,
