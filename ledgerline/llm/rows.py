@@ -230,3 +230,22 @@ def sequence_hash(values: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
     """One list per text."""
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
+def runs_of_key(stream: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[object, pa.Table]]:
+    """(key, rows) of every run of equal keys in a partition sorted by that column; holds one run at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and values[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
