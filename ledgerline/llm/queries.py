@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, substring_dedup, token_counts
+from ledgerline.llm import exact_dedup, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("id").alias("doc_id"), "n_sentences", "n_removed", "text", "kept_sha256")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=200, keep_first=False)
+    return cleaned.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -126,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op5_quality_rules": op5_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
