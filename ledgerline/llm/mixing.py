@@ -208,3 +208,12 @@ def _edge(block: str) -> Column:
 def _local(df: DataFrame) -> DataFrame:
     """A frame of one row per source, held by the driver."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan()) -> DataFrame:  # noqa: B008
+    """``docs`` as the mix takes them: each row as often as it is taken whole, to the nearest copy; columns as they were."""
+    taken, _ = mix_sources(docs, id_col, text_col, source_col, plan)
+    copies = taken.filter("size > 0").select(F.col("_rid").alias("_mix_rid"), F.expr("(2 * taken + size) div (2 * size)").cast("int").alias("_mix_copies"))
+    numbered = with_row_id(docs, "_row_rid")
+    repeated = numbered.join(copies.filter("_mix_copies > 0"), F.col("_row_rid") == F.col("_mix_rid"))
+    return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
+from ledgerline.llm import exact_dedup, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *(F.round(c, 9).alias(c) for c in columns), "kept")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "round_trip", "tokens")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -129,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": op1_html_extraction,
         "op2_token_counts": op2_token_counts,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
