@@ -11,7 +11,10 @@ and y link only if |d(x, p) - d(y, p)| <= r for every pivot p.
    with m above the number of shingles in which two linked sets of that size
    can differ, so at least one part is the same in both.  Documents that share
    a part form a cell, cells that share a document form a region, and every
-   linked pair lies inside one region.
+   linked pair lies inside one region.  Parts without any but very common
+   shingles are left out where a document has enough others (see
+   :func:`part_signatures`); which shingles are common changes the work, not
+   the result.
 3. Inside a region, a pivot's distances to all members are exact.  Members
    within r are linked to it.  The rest, and the boundary documents its window
    lets in, join again with the next pivot, until no candidates are left.
@@ -47,6 +50,12 @@ from ledgerline.llm.rows import (
 
 #: Signatures in a bucket of cells, about.
 BUCKET_ITEMS = 1_000_000
+#: Shingles that are looked up as very common, at most, and the documents that count together for it.
+COMMON_SHINGLES = 1 << 17
+COUNT_SHINGLES = 6_000_000
+COMMON_DOCS = 4
+#: Hashes by which a set can be dealt into parts before its empty parts are named.
+DEALS = 5
 #: Region memberships up to this many (16 bytes each) are broadcast to fetch the texts.
 BROADCAST_NODES = 200_000
 
@@ -98,70 +107,134 @@ class SizeClasses:
         top = np.array(self.start)[k + 1] - 1
         most = (100 - self.percent) * 2 * top // (100 + self.percent)
         # A few parts more than needed, so that the parts with shingles are enough on their own.
-        return most, most + 2 + (most + 1) // 24
+        return most, most + 3 + (most + 1) // 12
 
 
-def part_signatures(h: np.ndarray, at: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of the parts of each set, in its own size class and the next."""
+class Common:
+    """A sorted list of very common shingles with a quick look-up."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = np.sort(shingles)
+        self.flag = np.zeros(1 << 22, bool)
+        self.flag[(self.shingles >> np.uint64(42)).astype(np.int64)] = True
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = self.flag[(h >> np.uint64(42)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            where = np.minimum(np.searchsorted(self.shingles, h[maybe]), len(self.shingles) - 1)
+            out[maybe] = self.shingles[where] == h[maybe]
+        return out
+
+
+def part_signatures(h: np.ndarray, at: np.ndarray, classes: SizeClasses, common: Common) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, text) of the parts of each set, in its own size class and the next.
+
+    A part with a shingle that is not common is good.  With more good parts
+    than linked sets can have differing parts, one good part is shared with
+    every linked set, and that set names it too, for it always names its good
+    parts.  A set with too few good parts is dealt again by another hash, where
+    every part with a shingle is good; so is its partner if neither has found
+    the other.  What is short of good parts under every hash names its empty
+    parts as well.
+    """
     n = np.diff(at)
-    owner = text_of(at)
-    out, by = [], []
     own = classes.of(np.maximum(n, 1))
-    mixed = mix64(h)
+    common_h, mixed = common.has(h), mix64(h)
+    out, by = [], []
     for step in (0, 1):
         k = own + step
         most, parts = classes.parts(k)
         # Linked sets that cannot differ are equal, and equal sets are one already.
-        parts = np.where((n > 0) & (most > 0), parts, 0)
-        base = np.r_[0, np.cumsum(parts)]
-        use = parts[owner] > 0
-        slot = base[:-1][owner[use]] + ((h[use] >> np.uint64(33)) % parts[owner[use]].astype(np.uint64)).astype(np.int64)
-        total, count = np.zeros(base[-1], np.uint64), np.bincount(slot, minlength=base[-1])
-        np.add.at(total, slot, mixed[use])
-        text = np.repeat(np.arange(len(n)), parts)
-        place = np.arange(base[-1]) - base[:-1][text]
-        filled = np.bincount(text, count > 0, len(n))
-        # Only where both sets have too few filled parts can an empty part be the one they share.
-        keep = (count > 0) | (filled <= most)[text]
-        name = mix64((k[text].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
-        out.append(mix64(total ^ name)[keep])
-        by.append(text[keep])
+        left = np.flatnonzero((n > 0) & (most > 0))
+        for deal in range(DEALS):
+            if not len(left):
+                break
+            item = _items(at, left)
+            count = parts[left]
+            base = np.r_[0, np.cumsum(count)]
+            local = np.repeat(np.arange(len(left)), n[left])
+            code = h[item] >> np.uint64(33) if not deal else mix64(h[item] + np.uint64(deal)) >> np.uint64(33)
+            slot = base[:-1][local] + (code % count[local].astype(np.uint64)).astype(np.int64)
+            total = np.zeros(base[-1], np.uint64)
+            np.add.at(total, slot, mixed[item])
+            good = np.zeros(base[-1], bool)
+            good[slot if deal else slot[~common_h[item]]] = True
+            text = np.repeat(np.arange(len(left)), count)
+            place = np.arange(base[-1]) - base[:-1][text]
+            enough = np.bincount(text, good, len(left)) > most[left]
+            keep = good | ~enough[text] if deal == DEALS - 1 else good
+            name = mix64((k[left][text].astype(np.uint64) << np.uint64(40)) | (place.astype(np.uint64) << np.uint64(8)) | np.uint64(deal))
+            out.append(mix64(total ^ name)[keep])
+            by.append(left[text[keep]])
+            left = left[~enough]
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(by)
 
 
+def _items(at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Positions of the items of the chosen sets, set after set."""
+    n = at[chosen + 1] - at[chosen]
+    first = np.r_[0, np.cumsum(n)]
+    return np.repeat(at[chosen] - first[:-1], n) + np.arange(first[-1])
+
+
 def _sets(width: int):
+    """One row per text, and rows without rid for shingles that many texts of a stretch have."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "id", "n", "key", "shingle", "texts"]
+
+        def often(held: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+            shingle, count = np.unique(np.concatenate(held), return_counts=True)
+            pick = np.flatnonzero(count >= COMMON_DOCS)
+            # A stretch cannot fill the list alone, so the most common ones of each are enough.
+            pick = pick[np.argsort(-count[pick], kind="stable")[:COMMON_SHINGLES]]
+            empty = [pa.nulls(len(pick), t) for t in (pa.int64(), kind, pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(shingle[pick].view(np.int64)), pa.array(count[pick])], names)
+
+        held, size, kind = [], 0, pa.int64()
         for whole in stream:
             for batch in slices(whole, 4 << 20):
                 rid, ids, text = batch.columns
+                kind = ids.type
                 h, at = shingle_sets(*joined(text), width)
                 key = [_digest(h[a:b]) if b > a else None for a, b in zip(at, at[1:], strict=False)]
+                empty = [pa.nulls(len(rid), pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays(
-                    [rid, ids, pa.array(np.diff(at), pa.int64()), pa.array(key, pa.binary())], ["rid", "id", "n", "key"]
+                    [rid, ids, pa.array(np.diff(at), pa.int64()), pa.array(key, pa.binary()), *empty], names
                 )
+                held.append(h)
+                size += len(h)
+                if size >= COUNT_SHINGLES:
+                    yield often(held, kind)
+                    held, size = [], 0
+        if size:
+            yield often(held, kind)
 
     return run
 
 
-def _cell_blobs(width: int, percent: int, buckets: int):
+def _cell_blobs(width: int, percent: int, buckets: int, sent):
     """Per bucket and slice of texts: packed signatures with the texts they come from; copies in a task send once."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, sent = SizeClasses(percent), set()
+        classes, common, done = SizeClasses(percent), Common(sent.value), set()
         for whole in stream:
             for batch in slices(whole, 4 << 20):
                 rid = batch.column(0).to_numpy()
                 h, at = shingle_sets(*joined(batch.column(1)), width)
                 fresh = np.zeros(len(rid), bool)
                 for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-                    if b > a and (d := _digest(h[a:b])[:12]) not in sent:
-                        sent.add(d)
+                    if b > a and (d := _digest(h[a:b])[:12]) not in done:
+                        done.add(d)
                         fresh[i] = True
                 keep = np.repeat(fresh, np.diff(at))
                 h, rid = h[keep], rid[fresh]
                 if not len(h):
                     continue
-                sig, text = part_signatures(h, np.r_[0, np.cumsum(np.diff(at)[fresh])], classes)
+                sig, text = part_signatures(h, np.r_[0, np.cumsum(np.diff(at)[fresh])], classes, common)
                 bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 sig, text, bucket = sig[order], text[order], bucket[order]
@@ -408,12 +481,16 @@ def jaccard_components(
     """
     rows = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    seen = materialize(rows.mapInArrow(_sets(width), f"rid long, id {kind}, n long, key binary"), "shingle-sets")
+    found = materialize(rows.mapInArrow(_sets(width), f"rid long, id {kind}, n long, key binary, shingle long, texts long"), "shingle-sets")
+    seen = found.filter("rid IS NOT NULL").select("rid", "id", "n", "key")
+    common = found.filter("rid IS NULL").groupBy("shingle").agg(F.sum("texts").alias("texts"))
+    listed = common.orderBy(F.desc("texts"), "shingle").limit(COMMON_SHINGLES).select("shingle").toArrow()["shingle"]
+    sent = rows.sparkSession.sparkContext.broadcast(listed.to_numpy().view(np.uint64))
     reps = seen.filter("n > 0").groupBy("key").agg(F.min("rid").alias("rep"))
     named = materialize(seen.join(reps.withColumnRenamed("key", "rep_key"), F.col("key") == F.col("rep_key"), "left").drop("key", "rep_key"), "representatives")
     shingles = named.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(shingles * 0.36) // BUCKET_ITEMS + 1)
-    blobs = rows.select("rid", "text").mapInArrow(_cell_blobs(width, percent, buckets), "bucket long, blob binary")
+    blobs = rows.select("rid", "text").mapInArrow(_cell_blobs(width, percent, buckets, sent), "bucket long, blob binary")
     stars = blobs.groupBy("bucket").applyInPandas(_cells, "a long, b long").distinct()
     for end in ("a", "b"):
         name = named.select(F.col("rid").alias(f"{end}_rid"), F.col("rep").alias(f"{end}_rep"))
