@@ -72,7 +72,7 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 
 
 def batches(
-    fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], max_bytes: int = 4 << 20, sized: int = -1
+    fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], max_bytes: int = 2 << 20, sized: int = -1
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Make a ``mapInArrow`` function of one that takes bounded slices.
 

@@ -42,13 +42,15 @@ from ledgerline.llm.rows import (
     with_row_id,
 )
 
-GRAM = 32
+GRAM = 64
 #: Anchors in a bucket of the first count, about.
 BUCKET_ITEMS = 2_000_000
 #: Bits of the filter that holds the anchors that stand twice; fixed, so it may be broadcast at any size.
 FILTER_BITS = 26
 #: Bytes of segments sorted together, unless one anchor has more.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 17
+#: Bytes of text that are searched for anchors together, and of a piece of a longer text; below 2**24.
+SLICE_BYTES = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -117,7 +119,7 @@ def _anchor_blobs(length: int, gram: int, buckets: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for whole in stream:
-            for batch in slices(whole, 4 << 20):
+            for batch in slices(whole, SLICE_BYTES):
                 for data, bounds, _ in _pieces(batch, length):
                     anchor = segments(data, bounds, length, gram)[4]
                     held.append(anchor)
@@ -134,11 +136,11 @@ def _anchor_blobs(length: int, gram: int, buckets: int):
 def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """The texts of a slice for :func:`segments`: (data, bounds, offset of the piece inside its text).
 
-    A text of 2**24 bytes or more goes in pieces that overlap, so no window is lost.
+    A text above the slice size goes in pieces that overlap, so no window is lost.
     """
     data, bounds = joined(batch.column(batch.num_columns - 1))
-    limit = (1 << 24) - 1
-    if len(data) <= limit:
+    limit = SLICE_BYTES + length
+    if len(bounds) > 2 or len(data) <= limit:
         yield data, bounds, 0
         return
     for at in range(0, len(data) - length + 1, limit - length + 1):
@@ -174,13 +176,14 @@ def _segment_rows(length: int, gram: int, sent):
     """(rid, text) to the segments whose anchor passes the filter."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool)
+        known = np.frombuffer(sent.value, np.uint8)
         for whole in stream:
-            for batch in slices(whole, 4 << 20):
+            for batch in slices(whole, SLICE_BYTES):
                 rid = batch.column(0).to_numpy()
                 for data, bounds, shift in _pieces(batch, length):
                     text, first, count, _, anchor, segment = segments(data, bounds, length, gram)
-                    hit = np.flatnonzero(known[_bit(anchor)])
+                    bit = _bit(anchor)
+                    hit = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                     # Occurrences of one segment in one text are one row.
                     hit = hit[np.lexsort((first[hit], segment[hit], anchor[hit], text[hit]))]
                     text, first, anchor, segment = text[hit], first[hit], anchor[hit], segment[hit]
