@@ -33,6 +33,8 @@ SPACE_MARK = "▁"
 #: Units end before a space mark and around line feeds; no piece crosses such an end.
 UNIT = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 LEXICON_UNITS = 1 << 16
+#: Rarer units are not worth a place in the lexicon.
+LEXICON_COUNT = 8
 #: Longer units stay out of the lexicon.
 LEXICON_CHARS = 24
 CACHE_UNITS = 1 << 19
@@ -85,12 +87,33 @@ class PieceModel:
 
     def fold(self, unit: str) -> list[int]:
         """Ids of one unit; long ones take time n log n."""
+        if self.kind == "bpe" and len(unit) <= LEXICON_CHARS:
+            return self._merge_short(unit)
         bounds = self._best_path(unit) if self.kind == "unigram" else self._merges(unit)
         out: list[int] = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             out += self.single(unit[a]) if b == a + 1 else [self.pieces[unit[a:b]][0]]
         return out
 
+    def _merge_short(self, unit: str) -> list[int]:
+        parts, pieces, never = list(unit), self.pieces, (0, float("-inf"))
+        score = [pieces.get(a + b, never)[1] for a, b in zip(unit, unit[1:], strict=False)]
+        while score and (best := max(score)) > never[1]:
+            i = score.index(best)  # the leftmost of equals
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del score[i]
+            if i:
+                score[i - 1] = pieces.get(parts[i - 1] + parts[i], never)[1]
+            if i < len(score):
+                score[i] = pieces.get(parts[i] + parts[i + 1], never)[1]
+        out: list[int] = []
+        for p in parts:
+            if got := pieces.get(p):
+                out.append(got[0])
+            else:
+                out += self.single(p)
+        return out
+
     def _merges(self, unit: str) -> list[int]:
         n = len(unit)
         after, before = list(range(1, n + 2)), list(range(-1, n + 1))
@@ -165,7 +188,7 @@ def _count_units(model: PieceModel):
 def frequent_units(docs: DataFrame, model: PieceModel, text_col: str, limit: int) -> DataFrame:
     """The ``limit`` most frequent units of two characters or more, by counts over all texts."""
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_units(model), "unit string, n long")
-    return counts.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(limit)
+    return counts.groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEXICON_COUNT).orderBy(F.desc("n"), "unit").limit(limit)
 
 
 def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
