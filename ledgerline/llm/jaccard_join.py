@@ -49,7 +49,7 @@ from ledgerline.llm.rows import (
 )
 
 #: Signatures in a bucket of cells, about.
-BUCKET_ITEMS = 1_000_000
+BUCKET_ITEMS = 2_000_000
 #: Shingles that are looked up as very common, at most, and the documents that count together for it.
 COMMON_SHINGLES = 1 << 17
 COUNT_SHINGLES = 6_000_000
@@ -297,8 +297,26 @@ class Forest:
                 self.up[max(a, b)] = min(a, b)
 
 
+def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest node, other node) of every component of the links (a, b), one link for each other node."""
+    nodes, local = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = local[: len(a)], local[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        nxt = root.copy()
+        np.minimum.at(nxt, x, low)
+        np.minimum.at(nxt, y, low)
+        nxt = nxt[nxt]
+        if (nxt == root).all():
+            break
+        root = nxt
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[other]], nodes[other]
+
+
 def _cells(_, pdf):
-    """Star links (cell's first text, other text) that hold the bucket's cells together."""
+    """Links that hold the bucket's cells together, as few as will do."""
     import pandas as pd
 
     parts = [_unpack(x) for x in pdf["blob"]]
@@ -308,8 +326,8 @@ def _cells(_, pdf):
     head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     first = np.repeat(rid[head], np.diff(np.r_[head, len(sig)]))
     use = first != rid
-    pairs = np.unique(np.stack([first[use], rid[use]], 1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    a, b = spanning_stars(first[use], rid[use])
+    return pd.DataFrame({"a": a, "b": b})
 
 
 class Region:
