@@ -40,7 +40,7 @@ POSITION_KEYWORDS = {
 
 def fold(c: Column) -> Column:
     """Caseless form of a text; null is empty. Sharp s and final sigma compare as in full case folding."""
-    return F.translate(F.lower(F.upper(F.coalesce(c, F.lit("")))), "ς", "σ")
+    return F.translate(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def collapse_ws(c: Column) -> Column:
