@@ -41,7 +41,7 @@ SHAPES = 8
 class ClassifierConfig:
     """sample_rows bounds the labelled documents that are fitted, features the words of the models."""
 
-    sample_rows: int = 6000
+    sample_rows: int = 4000
     features: int = 40_000
     min_docs: int = 4
     steps: int = 300
@@ -135,7 +135,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, w
     a, total = np.bincount(cols, y[rows], width), np.bincount(cols, minlength=width)
     ratio = np.log((a + 0.3) / (y.sum() + 1)) - np.log((total - a + 0.3) / (n - y.sum() + 1))
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    value = ratio[cols] * scale[rows]
+    value = (ratio[cols] * scale[rows]).astype(np.float32)
     w, v = np.zeros(width + SHAPES), np.zeros(width + SHAPES)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(c.steps):
@@ -163,13 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, c: Class
     n = got.num_rows
     if not n:
         return None
-    at = np.r_[0, np.cumsum([len(x) for x in got["words"]])]
-    words = np.concatenate([np.asarray(x.values, np.int64) for x in got["words"]]) if at[-1] else np.zeros(0, np.int64)
-    words = words.view(np.uint64)
-    dense = np.array(got["shapes"].to_pylist()).reshape(n, SHAPES)
-    quality, toxic = (np.array(got[k].to_pylist(), float) > 0 for k in ("quality", "toxic"))
-    owner = np.repeat(np.arange(n), np.diff(at))
-    kinds, inverse, count = np.unique(words, return_inverse=True, return_counts=True)
+    lists_ = got["words"].combine_chunks()
+    size = np.diff(lists_.offsets.to_numpy())
+    dense = got["shapes"].combine_chunks().flatten().to_numpy().reshape(n, SHAPES)
+    quality, toxic = (got[k].to_numpy() > 0 for k in ("quality", "toxic"))
+    # Driver memory is scarce: small integers, and nothing is kept twice.
+    kinds, inverse, count = np.unique(lists_.flatten().to_numpy().view(np.uint64), return_inverse=True, return_counts=True)
+    del got, lists_
+    inverse = inverse.astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     # The most telling words of either label, among those in several documents.
     tell = np.zeros(len(kinds))
     for y in (quality, toxic):
@@ -178,11 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, c: Class
         tell = np.maximum(tell, np.abs(np.log(p / q)) * np.sqrt(count))
     chosen = np.flatnonzero(count >= c.min_docs)
     chosen = np.sort(chosen[np.argsort(-tell[chosen], kind="stable")[: c.features]])
-    column = np.full(len(kinds), -1)
+    column = np.full(len(kinds), -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     cols = column[inverse]
+    del inverse
     keep = cols >= 0
     args = owner[keep], cols[keep], dense
+    del owner, cols, keep
     return Model(kinds[chosen], *(_fit(*args, y.astype(float), len(chosen), c) for y in (quality, toxic)))
 
 
