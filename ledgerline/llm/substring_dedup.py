@@ -1,9 +1,14 @@
 """Repeated passages by sliding sentence spans.
 
 A span starts at every sentence and runs over the following ones until it is
-long enough; it is hashed over its words.  Spans of all documents are joined on
-the hash, and sentences covered by a span that is not the first of its kind
-(in table order) are removed.
+long enough, and one ends at every sentence and runs back over the ones before
+it; they are hashed over their words.  Spans of all documents are joined on the
+hash, and sentences covered by a span that is not the first of its kind (in
+table order) are removed.
+
+These spans cover what all longer runs would: in a repeated run the span from
+its first sentence repeats too, and a sentence beyond that one's end closes a
+run that is long enough, so the span that ends there lies inside and repeats.
 """
 
 from __future__ import annotations
@@ -68,18 +73,26 @@ def _spans(min_sentences: int, min_words: int, alone_words: int):
         alone = np.searchsorted(edge, edge[:-1] + alone_words)
         stop = np.minimum(several, alone)
         good = np.flatnonzero(stop <= count[1:][of]) if len(head) else index
+        # Backward: the latest first sentence of a span that ends with each sentence, unless that span is there already.
+        several = np.minimum(index + 1 - min_sentences, np.searchsorted(edge, edge[1:] - min_words, "right") - 1)
+        begin = np.maximum(several, np.searchsorted(edge, edge[1:] - alone_words, "right") - 1)
+        more = np.flatnonzero(begin >= count[:-1][of]) if len(head) else index
+        more = more[stop[begin[more]] != more + 1]
+        first, last = np.r_[good, begin[more]], np.r_[stop[good], more + 1]
+        order = np.argsort(first, kind="stable")
+        first, last = first[order], last[order]
         words = range_hash(prefix_hash(ascii_lower(data)), start, end)
-        h = range_hash(sequence_hash(words), edge[good], edge[stop[good]])
-        span_at = np.searchsorted(of[good], np.arange(batch.num_rows + 1)) if len(head) else np.zeros(batch.num_rows + 1, np.int64)
-        base = count[:-1][of[good]] if len(head) else good
+        h = range_hash(sequence_hash(words), edge[first], edge[last])
+        span_at = np.searchsorted(of[first], np.arange(batch.num_rows + 1)) if len(head) else np.zeros(batch.num_rows + 1, np.int64)
+        base = count[:-1][of[first]] if len(head) else first
         return pa.RecordBatch.from_arrays(
             [
                 rid,
                 ids,
                 pa.array(np.diff(count), pa.int64()),
                 lists(h.view(np.int64), span_at),
-                lists((good - base).astype(np.int32), span_at),
-                lists((stop[good] - base).astype(np.int32), span_at),
+                lists((first - base).astype(np.int32), span_at),
+                lists((last - base).astype(np.int32), span_at),
             ],
             ["rid", "id", "n", "hash", "first", "stop"],
         )
@@ -128,14 +141,16 @@ def remove_repeated_spans(
     min_words: int = 30,
     alone_words: int = 50,
 ) -> DataFrame:
-    """Remove sentences covered by repeated spans, keeping each span's first occurrence in table order.
-
-    Sentences end at ``.!?`` before white space and at line breaks.  A span is
-    the shortest run of at least ``min_sentences`` sentences with at least
-    ``min_words`` words, or a shorter one with ``alone_words``; starts without
-    such a run before the text's end have none.  Spans are equal when their
-    words are (ASCII lower case), in one document or in two.  A removed
-    sentence goes with the white space after it.
+    """Remove sentences covered by repeated runs, keeping each run's first occurrence in table order.
+
+    Sentences end at ``.!?`` before white space and at line breaks.  Runs of
+    at least ``min_sentences`` sentences with at least ``min_words`` words
+    count, and shorter ones with ``alone_words``.  For every sentence the
+    shortest such run that starts there and the shortest that ends there are
+    joined; they cover all longer ones.  Runs are equal when their words are
+    (ASCII lower case), in one document or in two; copies whose lines break
+    inside sentences at other places share only the spans that end alike.  A
+    removed sentence goes with the white space after it.
 
     Null and empty texts have no sentences and come back empty; later repeated
     rows lose what their first row has.  An empty table gives an empty result.

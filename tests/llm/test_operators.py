@@ -11,7 +11,7 @@ from conftest import SF, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerline.llm import exact_dedup, jaccard_join, mixing, queries, quality_classifier, suffix_dedup
+from ledgerline.llm import exact_dedup, jaccard_join, mixing, queries, quality_classifier, substring_dedup, suffix_dedup
 from ledgerline.llm.html_extraction import extract_main_text, read_page
 from ledgerline.llm.sentencepiece_codec import PieceModel, build_lexicon, decode_ids, encode, fold_lattice, lattice, units_of
 from ledgerline.llm.token_counts import END_OF_DOCUMENT, PATTERN, count_document_tokens, find_separators, read_token_files, stitch
@@ -217,3 +217,45 @@ def test_declared_parts_of_a_page():
     html = """<head><title>T</title><style>p{}</style></head><body><header>H</header><nav>N</nav><div class="cookie-notice">C</div><aside>S</aside>
     <article><h1>Head&amp;line</h1><script>var a="</p>";</script><p>One <b>two</b>three<p>Four<form>F</form><div class="comments">R</div></article><footer>&copy;</footer>"""
     assert read_page(html).text() == "Head&line One twothree Four"
+
+
+def _removed_by_every_run(docs):
+    """Removed sentences of each document when every run of consecutive sentences is hashed."""
+    first, gone = {}, []
+    for doc in docs:
+        drop = set()
+        for a in range(len(doc)):
+            for b in range(a + 1, len(doc) + 1):
+                run = " ".join(doc[a:b]).split()
+                if len(run) >= 50 or (b - a >= 2 and len(run) >= 30):
+                    if tuple(run) in first:
+                        drop |= set(range(a, b))
+                    first.setdefault(tuple(run), None)
+        gone.append(drop)
+    return gone
+
+
+def test_repeated_spans_against_every_run(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    fresh = iter(range(10**6))
+
+    def sentence(n):
+        return " ".join(f"w{next(fresh)}" for _ in range(n)) + "."
+
+    docs = []
+    for sizes in ([60, 45], [55, 12, 12], [25, 25, 4], [25, 4, 25], [10, 10, 10, 3, 3], [29, 1, 1], [49, 60, 1]):
+        passage = [sentence(n) for n in sizes]
+        docs += [[sentence(5), *passage, sentence(5)], [sentence(7), *passage], [*passage, sentence(9), *passage]]
+    pool = [[sentence(int(n)) for n in rng.integers(1, 62, 8)] for _ in range(12)]
+    for _ in range(120):
+        doc = []
+        for _ in range(rng.integers(0, 4)):
+            passage, (a, b) = pool[rng.integers(len(pool))], sorted(rng.integers(0, 9, 2))
+            doc += [*(sentence(int(n)) for n in rng.integers(1, 20, rng.integers(0, 3))), *passage[a:b]]
+        docs.append(doc)
+    rows = [(i, " ".join(doc)) for i, doc in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = substring_dedup.remove_repeated_spans(spark.read.parquet(str(tmp_path / "d"))).orderBy("_rid").collect()
+    for r, doc, drop in zip(got, docs, _removed_by_every_run(docs), strict=True):
+        assert (r["n_sentences"], r["n_removed"]) == (len(doc), len(drop))
+        assert r["text"].split() == " ".join(x for i, x in enumerate(doc) if i not in drop).split()
