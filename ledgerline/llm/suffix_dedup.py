@@ -32,6 +32,7 @@ from ledgerline.llm.rows import (
     joined,
     lists,
     materialize,
+    offsets,
     packed_texts,
     prefix_hash,
     range_hash,
@@ -119,7 +120,7 @@ def _anchor_blobs(length: int, gram: int, buckets: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for whole in stream:
-            for batch in slices(whole, SLICE_BYTES):
+            for batch in _slices(whole):
                 for data, bounds, _ in _pieces(batch, length):
                     anchor = segments(data, bounds, length, gram)[4]
                     held.append(anchor)
@@ -133,6 +134,19 @@ def _anchor_blobs(length: int, gram: int, buckets: int):
     return run
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices for :func:`_pieces`: a text above the slice size stands alone, without the empty ones before it."""
+    for part in slices(batch, SLICE_BYTES):
+        ends = offsets(part.column(part.num_columns - 1))
+        if part.num_rows > 1 and ends[-1] - ends[0] > SLICE_BYTES:
+            long = int(np.argmax(np.diff(ends)))
+            yield part.slice(0, long)
+            yield part.slice(long, 1)
+            part = part.slice(long + 1)
+        if part.num_rows:
+            yield part
+
+
 def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """The texts of a slice for :func:`segments`: (data, bounds, offset of the piece inside its text).
 
@@ -178,7 +192,7 @@ def _segment_rows(length: int, gram: int, sent):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(sent.value, np.uint8)
         for whole in stream:
-            for batch in slices(whole, SLICE_BYTES):
+            for batch in _slices(whole):
                 rid = batch.column(0).to_numpy()
                 for data, bounds, shift in _pieces(batch, length):
                     text, first, count, _, anchor, segment = segments(data, bounds, length, gram)

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,17 @@ def test_html_edge_cases(spark, tmp_path):
     out = html_extraction.extract_main_text(pages).orderBy("_rid").collect()
     assert [r["text"] for r in out] == ["", "", "a&b cd e", ""]
     assert html_extraction.extract_main_text(pages.filter("false")).count() == 0
+
+
+def test_long_text_after_empty_ones_goes_in_pieces(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    passage = rng.integers(97, 123, 400, np.uint8).tobytes().decode()
+    long = rng.integers(97, 123, 1 << 24, np.uint8).tobytes().decode() + "|" + passage + "|" + "x" * 50
+    rows = [(1, "short|" + passage), (2, None), (3, ""), (4, long), (5, ""), (6, "end")]
+    batch = pa.RecordBatch.from_pydict({"rid": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    parts = list(suffix_dedup._slices(batch))
+    assert [r for p in parts for r in p.column(0).to_pylist()] == [1, 2, 3, 4, 5, 6]
+    assert all(len(data) < 1 << 21 for p in parts for data, _, _ in suffix_dedup._pieces(p, 200))
+    spark.createDataFrame(rows[1:] + rows[:1], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = by_id(suffix_dedup.remove_repeated_bytes(spark.read.parquet(str(tmp_path / "d")), keep_first=False))
+    assert {i: r["n_removed"] for i, r in got.items()} == {1: 401, 2: 0, 3: 0, 4: 401, 5: 0, 6: 0}
