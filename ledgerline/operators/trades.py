@@ -232,16 +232,23 @@ def pair_lots(old: DataFrame, new: DataFrame, key: Sequence[str], row: str = "ro
     return a.join(b, [*key, "k"]).select("old_row", "new_row")
 
 
-def close_links(links: DataFrame, max_steps: int = 50) -> DataFrame:
-    """(row_id, replacement) with chains collapsed to their end, as a recursive query in the engine."""
-    spark = links.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE chain(row_id, replacement, depth) AS (
-             SELECT row_id, replacement, 0 FROM {links}
-             UNION ALL SELECT c.row_id, l.replacement, c.depth + 1 FROM chain c JOIN {links} l ON c.replacement = l.row_id WHERE c.depth < {steps})
-           SELECT row_id, max_by(replacement, depth) AS replacement FROM chain GROUP BY row_id""",
-        links=links, steps=max_steps,
-    )
+def close_links(links: DataFrame) -> DataFrame:
+    """(row_id, replacement) with chains collapsed to their end, whatever their length.
+
+    Each round every row takes the replacement of its replacement, so the
+    rounds grow with the logarithm of the longest chain.  A cycle has no end
+    and raises an error.
+    """
+    now = links.select("row_id", "replacement").localCheckpoint()
+    for _ in range(now.count().bit_length() + 1):
+        following = now.select(F.col("row_id").alias("_at"), F.col("replacement").alias("_next"))
+        moved = now.join(following, F.col("replacement") == F.col("_at"), "left").select(
+            "row_id", F.coalesce("_next", "replacement").alias("replacement"), F.col("_at").isNotNull().alias("_moved")
+        ).localCheckpoint()
+        now = moved.select("row_id", "replacement")
+        if not moved.filter("_moved").limit(1).count():
+            return now
+    raise RuntimeError("links run in a cycle")
 
 
 def supersede_reports(rows: DataFrame) -> DataFrame:
