@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits on.
@@ -21,13 +22,16 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, one is made and set.
+    A session of one process that names none gets a temporary one; on a cluster
+    a missing name is an error, for executors do not share local folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         if option.isDefined():
             return option.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="ledgerline-")
         spark.sparkContext.setCheckpointDir(named)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -63,14 +67,68 @@ def drop_materialized() -> None:
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows of a file scan: partition index and position in it.
 
-    Splits of a scan follow from the files alone, so the same numbers come
-    from every pass over the same tables, also after lost executors.  For
-    frames that are not plain scans, materialize the result before it is used
-    twice.
+    Splits of a scan follow from the files and the session's settings, so the
+    same numbers come from every pass of one session over the same tables, also
+    after lost executors, but another session may number otherwise: results
+    must not depend on them, but for ties among equal rows.  For frames that
+    are not plain scans, materialize the result before it is used twice.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: A key with more than one part in so many of all rows is dealt to several tasks.
+HOT_PARTS = 1024
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner", by: str = "rid", parts: int = HOT_PARTS
+) -> DataFrame:
+    """Join ``left`` with ``right`` on ``key`` so that no key fills a task.
+
+    right: one row per key; ``weight`` tells how many rows of ``left`` have it,
+    of ``total`` in all.  A key with more than 1/parts of the rows is salted: its
+    left rows are dealt by a hash of ``by``, its right row goes to every salt.  There are
+    fewer than ``parts`` such keys, so their list may be broadcast at any size.
+    The result has the columns of both, the key once, without the weight.
+    """
+    salts = F.ceil(F.col(weight) * parts / F.lit(max(total, 1))).cast("int")
+    salted = right.withColumn("_salts", F.when(F.col(weight) * parts > total, F.least(salts, F.lit(parts))).otherwise(F.lit(1)))
+    hot = F.broadcast(salted.filter("_salts > 1").select(F.col(key).alias("_hot_key"), F.col("_salts").alias("_hot_salts")))
+    deal = F.pmod(F.xxhash64(F.col(by), F.lit("salt")), F.coalesce("_hot_salts", F.lit(1)))
+    dealt = left.join(hot, left[key] == F.col("_hot_key"), "left").withColumn("_salt", deal.cast("int")).drop("_hot_key", "_hot_salts")
+    copies = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", weight)
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+#: Bits of a row filter at most (32 MB); fewer for few rows.
+ROW_FILTER_BITS = 28
+
+
+def filter_place(column: str, size: int) -> Column:
+    """The bit of a row number in a filter of 2**size bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - size)
+
+
+def row_filter(keys: DataFrame, n: int, place: Callable[[int], Column]) -> tuple[np.ndarray, int]:
+    """(bits, size): a filter that passes every given key and few others; place(size) is a key's bit.
+
+    Executors set the bits; at most 2**(ROW_FILTER_BITS - 6) words come to the
+    driver, however many keys there are.  With very many keys it passes more
+    of the others, which costs work, never rows.  n: how many there are, about.
+    """
+    size = min(ROW_FILTER_BITS, max(16, (16 * n).bit_length()))
+    words = keys.select(place(size).alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit")
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (size - 6), np.int64)
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return bits, size
+
+
+def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places of a filter are set."""
+    return (bits.view(np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def batches(
     fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], max_bytes: int = 2 << 20, sized: int = -1
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -96,7 +154,7 @@ def slices(batch: pa.RecordBatch, max_bytes: int, sized: int = -1) -> Iterator[p
     sizes = np.diff(offsets(batch.column(batch.num_columns + sized if sized < 0 else sized)))
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > max_bytes:
+        if start < i and held + n > max_bytes:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)
