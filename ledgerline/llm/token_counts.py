@@ -10,6 +10,7 @@ before, last separator before) stitches documents that cross block edges.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ END_OF_DOCUMENT = 50256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1 << 16
+#: Runs of white space (Unicode White_Space) that the library's pattern engine is not given: it recurses once a character.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def _cut(path: str, tokens: np.ndarray, first: int) -> pa.RecordBatch:
@@ -54,30 +57,57 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> Data
     return files.mapInArrow(blocks, "file string, block long, tokens binary")
 
 
-def encode_to_blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Encode each scan partition into one flat stream of uint16 identifiers, cut into blocks.
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes to identifiers, of a vocabulary file of ranks."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
+
+
+def encode_text(coder, text: str) -> list[int]:
+    """Identifiers of a text of any length.
+
+    The pattern makes one piece of a run of white space, without its last
+    character where other text follows.  So long runs are cut out there and
+    encoded as the pieces they are, and the text between them as it stands.
+    """
+    out: list[int] = []
+    at = 0
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += coder.encode_ordinary(text[at : run.start()])
+        out += coder._encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    return out + coder.encode_ordinary(text[at:]) if at else coder.encode_ordinary(text)
+
+
+def encode_to_blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT) -> DataFrame:
+    """Encode each scan partition into one flat stream of identifiers, cut into blocks.
 
     Besides block rows there are manifest rows (file, ordinal, id) that say
     which document is which in the stream.  The driver reads the vocabulary and
     sends it (under 1 MB); texts that spell a special token are ordinary text.
+    Identifiers take two bytes; a vocabulary that needs more, or that uses the
+    separator, is an error.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
-        sent = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    known = set(read_ranks(data).values())
+    if separator in known or max(known | {separator}) >= 1 << 16:
+        raise ValueError(f"{vocabulary}: identifiers must be below 65536 and leave {separator} free")
+    sent = spark.sparkContext.broadcast(data)
 
     def encode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in sent.value.splitlines() if line)}
-        coder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        coder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=read_ranks(sent.value), special_tokens={})
         file = f"part-{TaskContext.get().partitionId():08d}"
-        close = np.array([END_OF_DOCUMENT], "<u2")
+        close = np.array([separator], "<u2")
         held, n, block, ordinal = [], 0, 0, 0
         for whole in stream:
             for batch in slices(whole, 4 << 20):
                 rid, ids, text = batch.columns
                 for x in text.fill_null("").to_pylist():
-                    tokens = np.array(coder.encode_ordinary(x), "<u2")
+                    tokens = np.array(encode_text(coder, x), "<u2")
                     held += [tokens, close]
                     n += len(tokens) + 1
                 count = batch.num_rows
@@ -158,8 +188,9 @@ def stitch(scanned: DataFrame) -> DataFrame:
 def count_document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row: _rid, id, file, ordinal, n_tokens of its encoding in the flat files made of ``docs``.
 
-    Null and empty texts have 0 tokens; repeated rows are counted each; an
-    empty table gives an empty result.
+    Null and empty texts have 0 tokens; repeated rows are counted each; a text
+    of many megabytes, also of one word or of white space alone, is encoded
+    whole in its task; an empty table gives an empty result.
     """
     scanned = materialize(find_separators(encode_to_blocks(docs, id_col, text_col, vocabulary)), "separators")
     counts = stitch(scanned.filter("block IS NOT NULL"))
