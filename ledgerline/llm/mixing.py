@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.rows import batches, joined, materialize, with_row_id, word_spans
+from ledgerline.llm.rows import batches, joined, materialize, prefix_hash, range_hash, with_row_id, word_spans
 
 #: frac(t * golden ratio) as a fraction of 2**32, with t modulo 2**31 to stay inside 64 bits.
 GOLDEN_STEP = 2654435769
@@ -35,7 +35,8 @@ class MixPlan:
 
     weights repeat over the sources in code-point order, null last; a source is
     repeated at most ``max_epochs`` times; blocks hold about ``block_tokens``,
-    fewer where the schedule would have less than ``min_slots`` slots.
+    fewer where the schedule would have less than ``min_slots`` slots.  The
+    driver holds about 200 bytes for each of at most ``max_sources`` sources.
     """
 
     weights: Sequence[float] = (5, 2, 1)
@@ -43,6 +44,7 @@ class MixPlan:
     block_tokens: int = 1024
     min_slots: int = 1 << 16
     chunk_rows: int = 1 << 14
+    max_sources: int = 500_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], max_epochs: float) -> list[float]:
@@ -63,15 +65,22 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_epochs: float) -
 
 
 def _count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Words of each text, and a hash of it that gives rows their order in any session."""
     rid, ids, source, text = batch.columns
-    _, _, at = word_spans(*joined(text))
-    return pa.RecordBatch.from_arrays([rid, ids, source, pa.array(np.diff(at), pa.int64())], ["rid", "id", "source", "size"])
+    data, bounds = joined(text)
+    _, _, at = word_spans(data, bounds)
+    content = range_hash(prefix_hash(data), bounds[:-1], bounds[1:]).view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [rid, ids, source, pa.array(np.diff(at), pa.int64()), pa.array(content)], ["rid", "id", "source", "size", "content"]
+    )
 
 
 def _sources(rows: DataFrame, plan: MixPlan) -> DataFrame:
     """One row per source: size, target, slots, the part of the circle it owns."""
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()  # one row per source
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(plan.max_sources + 1).collect()
+    if len(found) > plan.max_sources:
+        raise ValueError(f"more than {plan.max_sources} sources to mix")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [int(r["size"]) for r in found]
     weights = [plan.weights[i % len(plan.weights)] for i in range(len(found))]
@@ -134,16 +143,18 @@ def mix_sources(
     slot order, the words each slot takes of each document.
 
     Null text has size 0 and is never taken; null is a source of its own, last
-    in order.  The stream of a source is in hash order of (id, row), so reruns
-    agree.  No document is taken more than ``max_epochs`` times over.  An empty
-    table, or one without words, gives no takes.  Source statistics, one row
-    per source, pass through the driver.
+    in order.  The stream of a source is in hash order of (id, text), so reruns
+    agree, on any cluster and however files are split; rows equal in both are
+    interchangeable.  No document is taken more than ``max_epochs`` times over.  An empty
+    table, or one without words, gives no takes.  A text of any length counts
+    whole.  Source statistics, one row per source, pass through the driver and
+    are broadcast; more than ``max_sources`` sources are an error.
     """
     rows = with_row_id(docs).select(
         F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")
     )
     kind = dict(rows.dtypes)["id"]
-    rows = materialize(rows.mapInArrow(batches(_count_words), f"rid long, id {kind}, source string, size long"), "sizes")
+    rows = materialize(rows.mapInArrow(batches(_count_words), f"rid long, id {kind}, source string, size long, content long"), "sizes")
     sources = _sources(rows, plan)
     slots = _slots(sources, plan)
     per_source = slots.groupBy("key").agg(F.count(F.lit(1)).alias("slots"))
@@ -156,14 +167,14 @@ def mix_sources(
     stats = stats.withColumn("slots", F.when((F.col("slots") == 0) & (F.col("quota") > 0), F.lit(1).cast("long")).otherwise(F.col("slots")))
 
     known = rows.join(stats, rows["source"].eqNullSafe(stats["source"])).drop(stats["source"])
-    full = known.filter("size > 0 AND quota > 0").select("rid", "id", "source", "size", "key", "source_size", "quota", "slots")
+    full = known.filter("size > 0 AND quota > 0").select("rid", "id", "source", "size", "content", "key", "source_size", "quota", "slots")
     n = rows.count()
     chunks = max(1, -(-n // plan.chunk_rows))
-    mixed = F.xxhash64(F.lit("mix"), F.col("id"), F.col("rid"))
+    mixed = F.xxhash64(F.lit("mix"), F.col("id"), F.col("content"))
     placed = full.withColumn("order", mixed).withColumn("chunk", _chunk(F.col("order"), chunks))
     before = _prefix(placed.groupBy("key", "chunk").agg(F.sum("size").alias("n")), "key", "chunk", "n")
     running = F.sum("size").over(
-        Window.partitionBy("key", "chunk").orderBy("order", "id", "rid").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("key", "chunk").orderBy("order", "id", "content", "rid").rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = placed.withColumn("inside", F.coalesce(running, F.lit(0))).join(before, ["key", "chunk"])
     at = (F.col("before") + F.col("inside") + F.col("epoch") * F.col("source_size")).cast("long")
