@@ -5,10 +5,11 @@ its texts: a fingerprint splits into block, quotient and remainder, remainders
 stand sorted inside their quotient's run, and equal ones raise a counter.  The
 filters of one block merge without loss by merging sorted remainders and adding
 counters.  Texts whose merged counter is above one are fetched again and
-compared byte for byte; all others are unique for certain.
+compared byte for byte; all others are unique for certain, and a filter of the
+repeated fingerprints keeps them out of every exchange.
 
-A third of all rows may be one text: every partition sends one counter, and one
-text to verify, for it.
+A third of all rows may be one text: every task sends one counter, and one
+text to verify, for it, and its rows meet their group in salted parts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.rows import SPACE, materialize, raw_texts, slices, with_row_id
+from ledgerline.llm.rows import SPACE, materialize, passes, raw_texts, row_filter, slices, spread_join, with_row_id
 
 REMAINDER_BITS = 32
 #: Fingerprints in a merged block, about; the number of blocks follows the rows.
@@ -117,24 +118,43 @@ def _merge(_, pdf):
     return pd.DataFrame({"fp": fp.astype(np.int64)})
 
 
-def _candidates(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different texts of a partition, without white space; a text that a task has sent is not sent again."""
-    sent: set[bytes] = set()
-    for whole in stream:
-        for batch in slices(whole, 16 << 20):
-            rows = []
-            for x in raw_texts(batch.column(0)):
-                raw = x.translate(None, SPACE)
-                sha = hashlib.sha256(raw).digest()
-                if sha not in sent:
-                    sent.add(sha)
-                    rows.append((int.from_bytes(sha[:8], "big", signed=True), sha, raw))
-            if rows:
-                fp, sha, raw = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp, pa.int64()), pa.array(sha, pa.binary()), pa.array(raw, pa.binary())],
-                    ["fp", "sha", "raw"],
-                )
+def _flag(sent):
+    """Digest rows with ``maybe``: whether the filter of repeated fingerprints passes them."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, size = sent.value
+        for batch in stream:
+            maybe = passes(bits, (_fingerprints(batch.column("sha")) >> np.uint64(64 - size)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*batch.schema.names, "maybe"])
+
+    return run
+
+
+def _candidates(sent):
+    """The different texts of a task that the filter passes, without white space, as Zstandard frames."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        coder, done = zstandard.ZstdCompressor(level=3), set()
+        bits, size = sent.value
+        for whole in stream:
+            for batch in slices(whole, 16 << 20):
+                rows = []
+                for x in raw_texts(batch.column(0)):
+                    raw = x.translate(None, SPACE)
+                    sha = hashlib.sha256(raw).digest()
+                    at = int.from_bytes(sha[:8], "big") >> (64 - size)
+                    if bits[at >> 6] >> (at & 63) & 1 and sha not in done:
+                        done.add(sha)
+                        rows.append((int.from_bytes(sha[:8], "big", signed=True), sha, coder.compress(raw)))
+                if rows:
+                    fp, sha, packed = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(fp, pa.int64()), pa.array(sha, pa.binary()), pa.array(packed, pa.binary())], ["fp", "sha", "packed"]
+                    )
+
+    return run
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,41 +163,51 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``; null
     counts as empty, so null, empty and blank texts form one group.  The row
     with the most code points in its original text stays, then the smallest
-    identifier (null last), then the first row.  An empty table gives an empty
-    result.
+    identifier (null last), then the first row.  Texts of any length are
+    compared whole.  An empty table gives an empty result.
 
     Returns per row: _rid, id, keep_id, keep_rid, group_size, kept, sha (hex).
     """
     rows = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    seen = materialize(rows.mapInArrow(_digests, f"rid long, id {kind}, points long, sha binary"), "digests")
+    schema = f"rid long, id {kind}, points long, sha binary"
+    seen = materialize(rows.mapInArrow(_digests, schema), "digests")
     n = seen.count()
     block_bits = max(0, min(30, (n // BLOCK_ITEMS).bit_length()))
     filters = seen.select("sha").mapInArrow(_build(block_bits), "block long, filter binary")
-    repeated = filters.groupBy("block").applyInPandas(_merge, "fp long")
-    texts = rows.select("text").mapInArrow(_candidates, "fp long, sha binary, raw binary")
+    repeated = materialize(filters.groupBy("block").applyInPandas(_merge, "fp long"), "repeated-fingerprints")
+    sent = docs.sparkSession.sparkContext.broadcast(
+        row_filter(repeated, repeated.count(), lambda size: F.shiftrightunsigned("fp", 64 - size))
+    )
+    texts = rows.select("text").mapInArrow(_candidates(sent), "fp long, sha binary, packed binary")
     same = (
         texts.join(repeated, "fp", "left_semi")
         .groupBy("sha")
-        .agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
+        .agg(F.min("packed").alias("low"), F.max("packed").alias("high"))
         .select("sha", F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.lit(True)).cast("boolean").alias("verified"))
         .filter("verified")
         .select("sha")
     )
+    flagged = seen.mapInArrow(_flag(sent), f"{schema}, maybe boolean")
     groups = (
-        seen.join(same, "sha", "left_semi")
+        flagged.filter("maybe")
         .groupBy("sha")
         .agg(
             F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("u"), "id", "rid")).alias("first"),
             F.count(F.lit(1)).alias("n"),
         )
-        .select("sha", F.col("first.id").alias("first_id"), F.col("first.rid").alias("first_rid"), "n")
+        .filter("n > 1")
+        .join(same, "sha", "left_semi")
+        .select("sha", F.col("first.id").alias("first_id"), F.col("first.rid").alias("first_rid"), "n", F.col("n").alias("group_rows"))
     )
-    own = F.col("n").isNull()
-    return seen.join(groups, "sha", "left").select(
+    groups = materialize(groups, "groups")
+    no_group = [F.lit(None).cast(t).alias(c) for c, t in groups.dtypes if c not in ("sha", "group_rows")]
+    alone = flagged.filter("NOT maybe").select("rid", "id", "sha", *no_group)
+    met = spread_join(flagged.filter("maybe").select("rid", "id", "sha"), groups, "sha", "group_rows", n, "left")
+    return alone.unionByName(met).select(
         F.col("rid").alias("_rid"),
         "id",
-        F.when(own, F.col("id")).otherwise(F.col("first_id")).alias("keep_id"),
+        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first_id")).alias("keep_id"),
         F.coalesce("first_rid", "rid").alias("keep_rid"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.coalesce("first_rid", "rid") == F.col("rid")).alias("kept"),
