@@ -151,7 +151,7 @@ def batches(
 def slices(batch: pa.RecordBatch, max_bytes: int, sized: int = -1) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
-    sizes = np.diff(offsets(batch.column(batch.num_columns + sized if sized < 0 else sized)))
+    sizes = np.diff(offsets(batch.column(sized % batch.num_columns)))
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if start < i and held + n > max_bytes:

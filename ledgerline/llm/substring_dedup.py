@@ -2,9 +2,10 @@
 
 A span starts at every sentence and runs over the following ones until it is
 long enough, and one ends at every sentence and runs back over the ones before
-it; they are hashed over their words.  Spans of all documents are joined on the
-hash, and sentences covered by a span that is not the first of its kind (in
-table order) are removed.
+it; they are hashed over their words, by two hashes of 64 bits.  Spans of all
+documents are joined on both, and sentences covered by a span that is not the
+first of its kind (by identifier) are removed.  Only texts that lose something
+are exchanged.
 
 These spans cover what all longer runs would: in a repeated run the span from
 its first sentence repeats too, and a sentence beyond that one's end closes a
@@ -24,19 +25,27 @@ from pyspark.sql import functions as F
 from ledgerline.llm.rows import (
     ascii_lower,
     batches,
+    filter_place,
     joined,
     lists,
     materialize,
+    mix64,
     packed_texts,
+    passes,
     prefix_hash,
     range_hash,
+    row_filter,
     sequence_hash,
+    spread_join,
     text_of,
     unpacked,
     with_row_id,
     word_spans,
 )
 
+#: Turns words' hashes into those of a second, independent sequence hash.
+_SECOND = np.uint64(0xA0761D6478BD642F)
+
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _CLOSER = np.zeros(256, bool)
@@ -83,6 +92,7 @@ def _spans(min_sentences: int, min_words: int, alone_words: int):
         first, last = first[order], last[order]
         words = range_hash(prefix_hash(ascii_lower(data)), start, end)
         h = range_hash(sequence_hash(words), edge[first], edge[last])
+        check = range_hash(sequence_hash(mix64(words ^ _SECOND)), edge[first], edge[last])
         span_at = np.searchsorted(of[first], np.arange(batch.num_rows + 1)) if len(head) else np.zeros(batch.num_rows + 1, np.int64)
         base = count[:-1][of[first]] if len(head) else first
         return pa.RecordBatch.from_arrays(
@@ -91,10 +101,35 @@ def _spans(min_sentences: int, min_words: int, alone_words: int):
                 ids,
                 pa.array(np.diff(count), pa.int64()),
                 lists(h.view(np.int64), span_at),
+                lists(check.view(np.int64), span_at),
                 lists((first - base).astype(np.int32), span_at),
                 lists((last - base).astype(np.int32), span_at),
             ],
-            ["rid", "id", "n", "hash", "first", "stop"],
+            ["rid", "id", "n", "hash", "check", "first", "stop"],
+        )
+
+    return run
+
+
+_KEPT = ["rid", "id", "n_sentences", "n_removed", "text", "kept_sha256"]
+
+
+def _whole(sent):
+    """(rid, id, text, at) to the results of texts that the filter does not pass: they lose nothing."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rid, ids, text, at = batch.columns
+        bits, _ = sent.value
+        keep = pa.array(~passes(bits, at.to_numpy()))
+        rid, ids, text = (c.filter(keep) for c in (rid, ids, text.fill_null("")))
+        data, bounds = joined(text)
+        start, end, word_at = word_spans(data, bounds)
+        owner = text_of(word_at)
+        head = sentences(data, start, end, owner)
+        n = np.bincount(owner[head], minlength=len(rid)) if len(head) else np.zeros(len(rid), np.int64)
+        digest = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [rid, ids, pa.array(n, pa.int64()), pa.array(np.zeros(len(rid), np.int64)), text, pa.array(digest, pa.string())], _KEPT
         )
 
     return run
@@ -125,10 +160,7 @@ def _without():
                 kept.append(raw)
                 digest.append(hashlib.sha256(raw).hexdigest())
             text = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [rid, ids, n, pa.array(gone, pa.int64()), text, pa.array(digest, pa.string())],
-                ["rid", "id", "n_sentences", "n_removed", "text", "kept_sha256"],
-            )
+            yield pa.RecordBatch.from_arrays([rid, ids, n, pa.array(gone, pa.int64()), text, pa.array(digest, pa.string())], _KEPT)
 
     return run
 
@@ -141,7 +173,10 @@ def remove_repeated_spans(
     min_words: int = 30,
     alone_words: int = 50,
 ) -> DataFrame:
-    """Remove sentences covered by repeated runs, keeping each run's first occurrence in table order.
+    """Remove sentences covered by repeated runs, keeping each run's first occurrence.
+
+    First is the one in the document of the smallest identifier (null last;
+    rows of one identifier in table order), and there the earliest.
 
     Sentences end at ``.!?`` before white space and at line breaks.  Runs of
     at least ``min_sentences`` sentences with at least ``min_words`` words
@@ -153,27 +188,41 @@ def remove_repeated_spans(
     removed sentence goes with the white space after it.
 
     Null and empty texts have no sentences and come back empty; later repeated
-    rows lose what their first row has.  An empty table gives an empty result.
+    rows lose what their first row has.  A text of any length is read whole in
+    its task.  An empty table gives an empty result.
 
     Returns per row: _rid, id, n_sentences, n_removed, text, kept_sha256 (hex).
     """
     rows = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    schema = f"rid long, id {kind}, n long, hash array<long>, first array<int>, stop array<int>"
+    schema = f"rid long, id {kind}, n long, hash array<long>, check array<long>, first array<int>, stop array<int>"
     seen = materialize(rows.mapInArrow(batches(_spans(min_sentences, min_words, alone_words)), schema), "spans")
-    spans = seen.select("rid", F.explode(F.arrays_zip("hash", "first", "stop")).alias("x")).select(
-        "rid", F.col("x.hash").alias("hash"), F.col("x.first").alias("first"), F.col("x.stop").alias("stop")
+    spans = seen.select("rid", "id", F.explode(F.arrays_zip("hash", "check", "first", "stop")).alias("x")).select(
+        "rid", "id", F.col("x.hash").alias("hash"), F.col("x.check").alias("check"), F.col("x.first").alias("first"), F.col("x.stop").alias("stop")
     )
-    kinds = spans.groupBy(F.col("hash").alias("kind")).agg(
-        F.min(F.struct("rid", "first")).alias("origin"), F.count(F.lit(1)).alias("n")
+    kinds = spans.groupBy("hash", "check").agg(
+        F.min(F.struct(F.col("id").isNull().alias("u"), "id", "rid", "first")).alias("origin"), F.count(F.lit(1)).alias("n")
     )
-    repeated = materialize(kinds.filter("n > 1").select("kind", "origin"), "repeated-spans")
-    later = spans.join(repeated, F.col("hash") == F.col("kind")).filter(
-        (F.col("rid") != F.col("origin.rid")) | (F.col("first") != F.col("origin.first"))
+    repeated = materialize(
+        kinds.filter("n > 1").select(F.struct("hash", "check").alias("kind"), "origin.rid", "origin.first", "n").withColumnsRenamed({"rid": "origin_rid", "first": "origin_first"}),
+        "repeated-spans",
     )
-    cuts = later.groupBy(F.col("rid").alias("cut_rid")).agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
-    facts = seen.select(F.col("rid").alias("n_rid"), "id", "n").join(cuts, F.col("n_rid") == F.col("cut_rid"), "left").drop("cut_rid")
-    whole = packed_texts(rows).join(facts, F.col("rid") == F.col("n_rid")).select("rid", "id", "packed", "n", "ranges")
-    return whole.mapInArrow(
-        _without(), f"rid long, id {kind}, n_sentences long, n_removed long, text string, kept_sha256 string"
-    ).withColumnRenamed("rid", "_rid")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    marked = spans.select("rid", "first", "stop", F.struct("hash", "check").alias("kind"))
+    later = spread_join(marked, repeated, "kind", "n", total).filter((F.col("rid") != F.col("origin_rid")) | (F.col("first") != F.col("origin_first")))
+    cuts = materialize(later.groupBy(F.col("rid").alias("cut_rid")).agg(F.collect_list(F.struct("first", "stop")).alias("ranges")), "cuts")
+    sent = docs.sparkSession.sparkContext.broadcast(row_filter(cuts, cuts.count(), lambda size: filter_place("cut_rid", size)))
+    size = sent.value[1]
+    result = f"rid long, id {kind}, n_sentences long, n_removed long, text string, kept_sha256 string"
+
+    def chosen(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            yield batch.filter(pa.array(passes(sent.value[0], batch.column("at").to_numpy())))
+
+    placed = rows.withColumn("at", filter_place("rid", size))
+    untouched = placed.mapInArrow(batches(_whole(sent), sized=2), result)
+    cut = placed.select("rid", "text", "at").mapInArrow(chosen, "rid long, text string, at long")
+    facts = seen.select(F.col("rid").alias("n_rid"), "id", "n", filter_place("rid", size).alias("at")).mapInArrow(chosen, f"n_rid long, id {kind}, n long, at long").drop("at")
+    facts = facts.join(cuts, F.col("n_rid") == F.col("cut_rid"), "left").drop("cut_rid")
+    whole = packed_texts(cut).join(facts, F.col("rid") == F.col("n_rid")).select("rid", "id", "packed", "n", "ranges")
+    return untouched.unionByName(whole.mapInArrow(_without(), result)).withColumnRenamed("rid", "_rid")
