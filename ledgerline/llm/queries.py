@@ -38,7 +38,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.select(
-        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "kept_sha256"
     )
 
 
@@ -80,13 +80,15 @@ c AS (
   SELECT doc_id, count(DISTINCT i + k) AS n
   FROM t JOIN r USING (doc_id, g), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
 ), wn AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY doc_id),
-l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (
-  SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS x
+l AS (
+  SELECT doc_id, source, unnest(x) AS line, generate_subscripts(x, 1) AS i
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM d)
+), lw AS (
+  SELECT doc_id, source, line, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS x
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
 ln AS (
-  SELECT doc_id, source, len(x) AS n,
+  SELECT doc_id, source, i, len(x) AS n,
          translate(array_to_string(x, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
   FROM lw
 ), h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
@@ -98,18 +100,25 @@ f AS (
 ), gone AS (
   SELECT ln.doc_id, sum(ln.n) AS n FROM ln JOIN hot ON ln.source IS NOT DISTINCT FROM hot.source AND ln.line = hot.line
   GROUP BY ln.doc_id
+), cut AS (
+  SELECT ln.doc_id, ln.i FROM ln JOIN hot ON ln.source IS NOT DISTINCT FROM hot.source AND ln.line = hot.line
+), clean AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+  FROM l ANTI JOIN cut ON l.doc_id = cut.doc_id AND l.i = cut.i GROUP BY l.doc_id
 ), s AS (
   SELECT d.doc_id, coalesce(wn.n, 0) AS n_words, coalesce(wn.chars, 0) AS word_chars,
-         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         coalesce(dup.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+         length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words,
+         sha256(coalesce(clean.text, '')) AS kept_sha256
   FROM d LEFT JOIN wn USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN gone USING (doc_id)
+       LEFT JOIN clean USING (doc_id)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_removed_words <= 50 * n_words AS kept,
-       CAST(n_removed_words AS BIGINT) AS n_removed_words
+       CAST(n_removed_words AS BIGINT) AS n_removed_words, kept_sha256
 FROM s
 """
 
