@@ -26,8 +26,10 @@ from ledgerline.llm.rows import (
     joined,
     lists,
     materialize,
+    offsets,
     prefix_hash,
     range_hash,
+    spread_join,
     text_of,
     with_row_id,
     word_spans,
@@ -39,9 +41,12 @@ SHAPES = 8
 
 @dataclass(frozen=True)
 class ClassifierConfig:
-    """sample_rows bounds the labelled documents that are fitted, features the words of the models."""
+    """sample_rows bounds the labelled documents that are fitted, sample_words the
+    different words and beginnings taken of each (those that hash lowest, the
+    same for all documents), features the words of the models."""
 
     sample_rows: int = 4000
+    sample_words: int = 1 << 14
     features: int = 40_000
     min_docs: int = 4
     steps: int = 300
@@ -112,19 +117,41 @@ def _features(data: np.ndarray, bounds: np.ndarray, known: np.ndarray | None = N
     return np.concatenate(found), np.concatenate(owners)
 
 
-def _sample_features(batch: pa.RecordBatch) -> pa.RecordBatch:
-    quality, toxic, text = batch.columns
-    data, bounds = joined(text)
-    h, owner = _features(data, bounds)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    fresh = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, np.int64)
-    at = np.searchsorted(owner[fresh], np.arange(batch.num_rows + 1))
-    shapes = _shapes(data, bounds)
-    return pa.RecordBatch.from_arrays(
-        [quality, toxic, lists(h[fresh].view(np.int64), at), lists(shapes.ravel(), np.arange(0, shapes.size + 1, SHAPES))],
-        ["quality", "toxic", "words", "shapes"],
-    )
+def _sample_features(limit: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        label, quality, toxic, text = batch.columns
+        data, bounds = joined(text)
+        h, owner = _features(data, bounds)
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        fresh = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, np.int64)
+        at = np.searchsorted(owner[fresh], np.arange(batch.num_rows + 1))
+        place = np.arange(len(fresh)) - at[:-1][owner[fresh]]
+        fresh = fresh[place < limit]
+        at = np.searchsorted(owner[fresh], np.arange(batch.num_rows + 1))
+        shapes = _shapes(data, bounds)
+        content = range_hash(prefix_hash(data), bounds[:-1], bounds[1:]).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [label, quality, toxic, pa.array(content), lists(h[fresh].view(np.int64), at), lists(shapes.ravel(), np.arange(0, shapes.size + 1, SHAPES))],
+            ["label_id", "quality", "toxic", "content", "words", "shapes"],
+        )
+
+    return run
+
+
+def _known_words(words: np.ndarray):
+    """Replace the words of a sampled document by their numbers among the model's."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(0)
+        h = column.flatten().to_numpy().view(np.uint64)
+        owner = np.repeat(np.arange(len(column)), np.diff(offsets(column)))
+        where = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+        hit = words[where] == h if len(words) else np.zeros(len(h), bool)
+        cols = lists(where[hit].astype(np.int32), np.searchsorted(owner[hit], np.arange(len(column) + 1)))
+        return pa.RecordBatch.from_arrays([cols, *batch.columns[1:]], ["cols", "shapes", "quality", "toxic"])
+
+    return run
 
 
 def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, c: ClassifierConfig) -> np.ndarray:
@@ -148,46 +175,61 @@ def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, w
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, c: ClassifierConfig) -> Model | None:
-    """Fit on the ``sample_rows`` labelled documents whose identifiers hash lowest; None without labels."""
+    """Fit on the ``sample_rows`` labelled documents whose identifiers hash lowest; None without labels.
+
+    Of rows with one identifier the text that hashes lowest is fitted.  The
+    choice of words is a grouped count; the driver gets the words of the model
+    and, of each sampled document, which of them it has.
+    """
     lab = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").select(
         F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")
     )
+    lab = lab.distinct()
     picked = lab.orderBy(F.xxhash64("label_id"), "label_id", "quality", "toxic").limit(c.sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # The sample has at most sample_rows rows of three numbers.
-    sample = texts.join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("quality", "toxic", "text")
-    found = sample.mapInArrow(batches(_sample_features), "quality int, toxic int, words array<long>, shapes array<double>").limit(
-        2 * c.sample_rows
+    sample = texts.join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("label_id", "quality", "toxic", "text")
+    kind = dict(sample.dtypes)["label_id"]
+    found = sample.mapInArrow(
+        batches(_sample_features(c.sample_words)), f"label_id {kind}, quality int, toxic int, content long, words array<long>, shapes array<double>"
     )
-    got = found.toArrow()
-    n = got.num_rows
+    one = found.groupBy("label_id", "quality", "toxic").agg(F.min(F.struct("content", "words", "shapes")).alias("x"))
+    sample = materialize(one.select("label_id", "quality", "toxic", "x.words", "x.shapes"), "sample")
+    total = sample.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("quality") > 0).cast("int")), F.lit(0)).alias("quality"),
+        F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0)).alias("toxic"),
+    ).first()
+    n = total["n"]
     if not n:
         return None
-    lists_ = got["words"].combine_chunks()
-    size = np.diff(lists_.offsets.to_numpy())
+    # The most telling words of either label, among those in several documents.
+    words = sample.select(F.explode("words").alias("word"), *[(F.col(y) > 0).cast("int").alias(y) for y in ("quality", "toxic")])
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic"))
+
+    def tell(y: str) -> Column:
+        p, q = (F.col(y) + 0.5) / (total[y] + 1), (F.col("count") - F.col(y) + 0.5) / (n - total[y] + 1)
+        return F.abs(F.log(p / q)) * F.sqrt("count")
+
+    told = counts.filter(F.col("count") >= c.min_docs).withColumn("tell", F.greatest(tell("quality"), tell("toxic")))
+    chosen = np.sort(told.orderBy(F.desc("tell"), "word").limit(c.features).select("word").toArrow()["word"].to_numpy().view(np.uint64))
+    got = sample.select("words", "shapes", "quality", "toxic", "label_id").orderBy(F.xxhash64("label_id"), "label_id", "quality", "toxic").drop("label_id")
+    got = got.mapInArrow(batches_of(_known_words(chosen)), "cols array<int>, shapes array<double>, quality int, toxic int").toArrow()
+    cols_ = got["cols"].combine_chunks()
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets(cols_)))
+    cols = cols_.flatten().to_numpy()
     dense = got["shapes"].combine_chunks().flatten().to_numpy().reshape(n, SHAPES)
     quality, toxic = (got[k].to_numpy() > 0 for k in ("quality", "toxic"))
-    # Driver memory is scarce: small integers, and nothing is kept twice.
-    kinds, inverse, count = np.unique(lists_.flatten().to_numpy().view(np.uint64), return_inverse=True, return_counts=True)
-    del got, lists_
-    inverse = inverse.astype(np.int32)
-    owner = np.repeat(np.arange(n, dtype=np.int32), size)
-    # The most telling words of either label, among those in several documents.
-    tell = np.zeros(len(kinds))
-    for y in (quality, toxic):
-        a = np.bincount(inverse, y[owner], len(kinds))
-        p, q = (a + 0.5) / (y.sum() + 1), (count - a + 0.5) / ((~y).sum() + 1)
-        tell = np.maximum(tell, np.abs(np.log(p / q)) * np.sqrt(count))
-    chosen = np.flatnonzero(count >= c.min_docs)
-    chosen = np.sort(chosen[np.argsort(-tell[chosen], kind="stable")[: c.features]])
-    column = np.full(len(kinds), -1, np.int32)
-    column[chosen] = np.arange(len(chosen))
-    cols = column[inverse]
-    del inverse
-    keep = cols >= 0
-    args = owner[keep], cols[keep], dense
-    del owner, cols, keep
-    return Model(kinds[chosen], *(_fit(*args, y.astype(float), len(chosen), c) for y in (quality, toxic)))
+    del got, cols_
+    return Model(chosen, *(_fit(owner, cols, dense, y.astype(float), len(chosen), c) for y in (quality, toxic)))
+
+
+def batches_of(fn):
+    def run(stream):
+        for batch in stream:
+            if batch.num_rows:
+                yield fn(batch)
+
+    return run
 
 
 def _evidence(model: Model):
@@ -237,7 +279,7 @@ def _strength(groups: DataFrame, mean: float) -> float:
     inner = max(mean * (1 - mean), 1e-6)
     room = row["n"] - row["n2"] / row["n"]
     between = max((row["spread"] - (row["k"] - 1) * inner) / max(room, 1e-9), 1e-6)
-    return float(min(max(inner / between - 1, 1.0), 1e6))
+    return round(float(min(max(inner / between - 1, 1.0), 1e6)), 6)
 
 
 def classify(
@@ -257,8 +299,9 @@ def classify(
     Null text is an empty text; null hosts and paths are groups of their own.
     ``labels`` (doc_id, quality, toxic) may be empty or lack documents: without
     any label every document has evidence 0.5 and is kept.  A label row with a
-    null is skipped; repeated labels count each.  An empty table gives an
-    empty result.
+    null is skipped; repeated labels count once.  Repeated rows are documents
+    of their own; texts of any length are judged whole; a posterior at the
+    threshold is kept.  An empty table gives an empty result.
     """
     model = fit(docs, labels, id_col, text_col, config)
     rows = with_row_id(docs).select(
@@ -273,10 +316,13 @@ def classify(
         seen = materialize(rows.mapInArrow(batches(_evidence(model)), schema), "evidence")
     seen = seen.withColumn("evidence", F.col("p_quality") * (1 - F.col("p_toxic")))
 
-    paths = seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("good"))
+    # Evidence is added in millionths, as integers, so that sums do not depend on their order.
+    paths = seen.groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("evidence") * 1e6).cast("long")) / 1e6).alias("good")
+    )
     paths = materialize(paths, "paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    mean = total["good"] / total["n"] if total["n"] else 0.5
+    mean = round(total["good"] / total["n"], 9) if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(mean))
     strong = _strength(hosts, mean)
     hosts = hosts.withColumn("host_posterior", (F.col("good") + strong * mean) / (F.col("n") + strong)).select(
@@ -284,9 +330,10 @@ def classify(
     )
     sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     inner = _strength(sites, mean)
-    sites = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "good", "prior")
     # One row per path comes to documents already aggregated; a document leaves itself out of its path.
-    own = seen.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    key = F.struct(*[x for c in ("host", "path") for x in (F.col(c).isNull().alias(f"no_{c}"), F.coalesce(c, F.lit("")).alias(f"{c}_"))])
+    sites = sites.select(key.alias("site"), "n", "good", "prior", F.col("n").alias("site_rows"))
+    own = spread_join(seen.withColumn("site", key), sites, "site", "site_rows", total["n"] or 0)
     path_posterior = (F.col("good") - F.col("evidence") + inner * F.col("prior")) / (F.col("n") - 1 + inner)
     posterior = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean)))))
     return (
