@@ -10,10 +10,12 @@ anchors that stand twice need suffix sorting:
    anchor and text fall together in a grouped count; an anchor all of whose
    segments are one text is settled by that count.
 3. Different segments around one anchor are sorted as suffixes, to the depth of
-   ``length`` bytes with ties in text order.  There the previous smaller
-   position of a suffix is its left neighbour when the two share a class, which
-   is when its longest previous factor reaches ``length``; the mirrored array
-   (next occurrences) finds the first copies.
+   ``length`` bytes.  In suffix order the previous and the next smaller position
+   of a suffix are where its longest previous factor stands; its length is the
+   smaller of the common prefixes on the way there.  A window whose factor
+   reaches ``length`` stands before; the mirrored array (positions from the end)
+   gives the longest next factors, which find the first copies.  An anchor with
+   very many segments is split by what stands beside it.
 4. Windows of repeated segments, back at all their occurrences, merge into
    spans of removed bytes.
 """
@@ -39,6 +41,7 @@ from ledgerline.llm.rows import (
     raw_texts,
     runs_of_key,
     slices,
+    spread_join,
     unpacked,
     with_row_id,
 )
@@ -46,8 +49,11 @@ from ledgerline.llm.rows import (
 GRAM = 64
 #: Anchors in a bucket of the first count, about.
 BUCKET_ITEMS = 2_000_000
-#: Bits of the filter that holds the anchors that stand twice; fixed, so it may be broadcast at any size.
-FILTER_BITS = 26
+#: Bits of the filter that holds the anchors that stand twice, at least and at most (32 MB): it may be broadcast at any
+#: size.  Beyond about 10**8 anchors it passes more that stand once, which costs rows of segments, never results.
+FILTER_BITS = 20, 28
+#: Anchors with more different segments than this are split by the bytes beside them.
+SPLIT_KINDS = 512
 #: Bytes of segments sorted together, unless one anchor has more.
 SORT_BYTES = 1 << 17
 #: Bytes of text that are searched for anchors together, and of a piece of a longer text; below 2**24.
@@ -162,7 +168,11 @@ def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np
         yield piece, np.array([0, len(piece)]), at
 
 
-def _repeated_anchors(_, pdf):
+def _repeated_anchors(size: int):
+    return lambda _, pdf: _repeated(pdf, size)
+
+
+def _repeated(pdf, size: int):
     import pandas as pd
 
     anchors, twice = [], []
@@ -175,18 +185,18 @@ def _repeated_anchors(_, pdf):
     anchor, twice = anchor[order], twice[order]
     head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     often = (np.diff(np.r_[head, len(anchor)]) > 1) | np.logical_or.reduceat(twice, head)
-    bits = np.unique(_bit(anchor[head[often]]))
+    bits = np.unique(_bit(anchor[head[often]], size))
     word, at = np.divmod(bits, 64)
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
     value = np.bitwise_or.reduceat(np.uint64(1) << at.astype(np.uint64), starts) if len(word) else at.astype(np.uint64)
     return pd.DataFrame({"word": word[starts], "bits": value.view(np.int64)})
 
 
-def _bit(anchor: np.ndarray) -> np.ndarray:
-    return (anchor >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _bit(anchor: np.ndarray, size: int) -> np.ndarray:
+    return (anchor >> np.uint64(64 - size)).astype(np.int64)
 
 
-def _segment_rows(length: int, gram: int, sent):
+def _segment_rows(length: int, gram: int, sent, size: int):
     """(rid, text) to the segments whose anchor passes the filter."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +205,12 @@ def _segment_rows(length: int, gram: int, sent):
             for batch in _slices(whole):
                 rid = batch.column(0).to_numpy()
                 for data, bounds, shift in _pieces(batch, length):
-                    text, first, count, _, anchor, segment = segments(data, bounds, length, gram)
-                    bit = _bit(anchor)
+                    text, first, count, where, anchor, segment = segments(data, bounds, length, gram)
+                    bit = _bit(anchor, size)
                     hit = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                     # Occurrences of one segment in one text are one row.
                     hit = hit[np.lexsort((first[hit], segment[hit], anchor[hit], text[hit]))]
-                    text, first, anchor, segment = text[hit], first[hit], anchor[hit], segment[hit]
+                    text, first, anchor, segment, where = text[hit], first[hit], anchor[hit], segment[hit], where[hit]
                     same = (text[1:] == text[:-1]) & (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1])
                     head = np.flatnonzero(np.r_[True, ~same]) if len(hit) else hit
                     yield pa.RecordBatch.from_arrays(
@@ -209,72 +219,149 @@ def _segment_rows(length: int, gram: int, sent):
                             pa.array(anchor[head].view(np.int64)),
                             pa.array(segment[head].view(np.int64)),
                             pa.array(count[hit][head].astype(np.int32)),
+                            pa.array((where - first)[head].astype(np.int32)),
                             lists(first - bounds[text] + shift, np.r_[head, len(hit)]),
                         ],
-                        ["rid", "anchor", "segment", "windows", "starts"],
+                        ["rid", "anchor", "segment", "windows", "place", "starts"],
                     )
 
     return run
 
 
-def _segment_texts(length: int):
-    """(rid, packed, wanted) to one row per wanted segment with its bytes."""
+def _segment_texts(length: int, gram: int):
+    """(rid, packed, wanted) to one row per wanted segment with its bytes; two for those of a split anchor.
+
+    A window has half of its other bytes before the anchor or half behind it,
+    and equal windows have the same; so windows of a split anchor meet by the
+    anchor with that half.
+    """
+    half = (length - gram) // 2
+
+    def key_of(raw: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             rows = []
             for rid, raw, wanted in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for w in wanted:
-                    end = w["start"] + w["windows"] + length - 1
-                    rows.append((w["anchor"], w["segment"], w["n"], rid, w["start"], w["windows"], raw[w["start"] : end]))
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-            columns = zip(*rows, strict=True) if rows else [()] * 7
+                    start, windows, place = w["start"], w["windows"], w["start"] + w["place"]
+                    if not w["split"]:
+                        parts = [(w["anchor"], 0, windows)]
+                    else:
+                        cut = min(max(place - half - start + 1, 0), windows)
+                        parts = [(key_of(b"<" + raw[place - half : place + gram]), 0, cut)] if cut else []
+                        if cut < windows:
+                            parts.append((key_of(b">" + raw[place : place + gram + half]), cut, windows - cut))
+                    for key, shift, n in parts:
+                        begin = start + shift
+                        rows.append((key, w["anchor"], w["segment"], w["n"], rid, begin, shift, n, raw[begin : begin + n + length - 1]))
+            kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()]
+            columns = zip(*rows, strict=True) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                ["anchor", "segment", "n", "rid", "start", "windows", "bytes"],
+                ["key", "anchor", "segment", "n", "rid", "start", "shift", "windows", "bytes"],
             )
 
     return run
 
 
-def truncated_ranks(data: np.ndarray, depth: int, wanted: np.ndarray) -> np.ndarray:
-    """Rank of the ``depth``-byte strings at the wanted places among each other, by prefix doubling (depth >= 8)."""
+def truncated_ranks(data: np.ndarray, depth: int, wanted: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Ranks of the ``depth``-byte strings at the wanted places among each other, by prefix doubling (depth >= 8).
+
+    Also the ranks of shorter strings at all places, as (length, ranks).
+    """
     padded = np.r_[data, np.zeros(depth, np.uint8)].astype(np.uint64)
     n = len(data)
     rank = np.zeros(n, np.uint64)
     for j in range(8):
         rank = (rank << np.uint64(8)) | padded[j : j + n]
-    have = 8
+    have, levels = 8, []
     while True:
         rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        levels.append((have, rank))
         if have == depth:
-            return rank[wanted]
+            return rank[wanted], levels
         step = min(have, depth - have)
         base = rank.max(initial=0) + np.uint64(1)
         if have + step == depth:
             key = rank[wanted] * base + np.r_[rank, np.zeros(depth, np.uint64)][wanted + step]
-            return np.unique(key, return_inverse=True)[1]
+            return np.unique(key, return_inverse=True)[1], levels
         rank = rank * base + np.r_[rank[step:], np.zeros(step, np.uint64)]
         have += step
 
 
-def repeated_factors(rank: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(longest previous factor reaches the depth, longest next factor does) for suffixes with ranks at that depth.
-
-    The suffix array has equal ranks in text order, so the previous smaller
-    position in suffix order is the left neighbour inside a class of equals,
-    and no previous occurrence exists at a class's first suffix.
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix of the strings at places a and b, ``depth`` at most; all of them lie inside the data."""
+    out = np.zeros(len(a), np.int64)
+    for size, rank in sorted(levels, key=lambda x: -x[0]):
+        for _ in range(1 + (size == levels[0][0])):
+            fits = np.flatnonzero(out + size <= depth)
+            same = rank[a[fits] + out[fits]] == rank[b[fits] + out[fits]]
+            out[fits[same]] += size
+    rest = np.flatnonzero(out < depth)
+    while len(rest):
+        rest = rest[data[a[rest] + out[rest]] == data[b[rest] + out[rest]]]
+        out[rest] += 1
+        rest = rest[out[rest] < depth]
+    return out
+
+
+def _to_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The smallest common prefix on the way left to the nearest smaller position, 0 without one.
+
+    position: of the suffixes in suffix order; common[i]: of suffixes i - 1 and i.
+    All suffixes look left together; one that meets a larger position goes on
+    from where that one looks, so a few rounds settle all.
+    """
+    at, low = np.arange(len(position)) - 1, common.copy()
+    low[:1] = 0
+    todo = np.flatnonzero(at >= 0)
+    todo = todo[position[at[todo]] > position[todo]]
+    while len(todo):
+        over = at[todo]
+        low[todo] = np.minimum(low[todo], low[over])
+        at[todo] = at[over]
+        todo = todo[at[todo] >= 0]
+        todo = todo[position[at[todo]] > position[todo]]
+    low[at < 0] = 0
+    return low
+
+
+def longest_previous_factors(order: np.ndarray, position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """LPF of every suffix: the longest prefix it shares with a suffix of smaller position.
+
+    order: the suffixes in suffix order; common: the prefixes neighbours in it
+    share (0 first).  The best partner is the previous or the next smaller
+    position in suffix order (PSV, NSV).
     """
-    suffix = np.lexsort((start, rid, rank))
-    same = rank[suffix][1:] == rank[suffix][:-1]
-    previous, following = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    previous[suffix[1:]] = same
-    following[suffix[:-1]] = same
-    return previous, following
+    own = position[order]
+    left = _to_smaller(own, common)
+    right = _to_smaller(own[::-1], np.r_[0, common[:0:-1]])[::-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(left, right)
+    return out
 
 
-def _ranges(flags: np.ndarray) -> list[dict[str, int]]:
-    edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
+def factor_arrays(data: np.ndarray, at: np.ndarray, rid: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(longest previous factors, longest next factors) of the strings at ``at``, ``depth`` at most.
+
+    rid and start give the positions: text and place in it, not the place in data.
+    """
+    rank, levels = truncated_ranks(data, depth, at)
+    position = np.empty(len(at), np.int64)
+    position[np.lexsort((start, rid))] = np.arange(len(at))
+    order = np.lexsort((position, rank))
+    same = rank[order][1:] == rank[order][:-1]
+    common = np.r_[0, np.where(same, depth, 0)] if len(at) else np.zeros(0, np.int64)
+    apart = np.flatnonzero(~same) + 1
+    common[apart] = common_prefixes(data, levels, at[order[apart - 1]], at[order[apart]], depth)
+    last = len(at) - 1
+    return longest_previous_factors(order, position, common), longest_previous_factors(order, last - position, common)
+
+
+def _ranges(flags: np.ndarray, shift: int = 0) -> list[dict[str, int]]:
+    edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0])) + shift
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
@@ -282,7 +369,7 @@ _RANGE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _sort_segments(length: int):
-    """Segments with bytes, sorted by anchor, to the ranges of their windows that are repeated, and repeated before."""
+    """Segments with bytes, sorted by key, to the ranges of their windows that are repeated, and repeated before."""
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         raw = [x.as_buffer() for x in table.column("bytes")]
@@ -291,14 +378,13 @@ def _sort_segments(length: int):
         at = np.r_[0, np.cumsum(windows + length - 1)][:-1]
         count = np.r_[0, np.cumsum(windows)]
         within = np.arange(count[-1]) - np.repeat(count[:-1], windows)
-        rank = truncated_ranks(data, length, np.repeat(at, windows) + within)
         rid, start = (np.repeat(table.column(c).to_numpy(), windows) for c in ("rid", "start"))
-        previous, following = repeated_factors(rank, rid, start + within)
-        often = table.column("n").to_numpy() > 1
-        before = [_ranges(previous[a:b]) for a, b in zip(count, count[1:], strict=False)]
+        previous, following = (x >= length for x in factor_arrays(data, np.repeat(at, windows) + within, rid, start + within, length))
+        often, shift = table.column("n").to_numpy() > 1, table.column("shift").to_pylist()
+        before = [_ranges(previous[a:b], k) for a, b, k in zip(count, count[1:], shift, strict=False)]
         every = [
-            [{"a": 0, "b": int(b - a)}] if often[i] else _ranges(previous[a:b] | following[a:b])
-            for i, (a, b) in enumerate(zip(count, count[1:], strict=False))
+            [{"a": k, "b": k + int(b - a)}] if twice else _ranges(previous[a:b] | following[a:b], k)
+            for twice, a, b, k in zip(often, count, count[1:], shift, strict=False)
         ]
         return pa.RecordBatch.from_arrays(
             [*(table.column(c).combine_chunks() for c in ("anchor", "segment")), pa.array(every, _RANGE), pa.array(before, _RANGE)],
@@ -357,15 +443,15 @@ def _remove(length: int):
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_first: bool = True, gram: int = GRAM
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_first: bool = True, gram: int = GRAM, split_kinds: int = SPLIT_KINDS
 ) -> DataFrame:
     """Remove the bytes covered by ``length``-byte strings that stand more than once.
 
     Texts are their UTF-8 bytes; strings do not cross texts, may overlap, and
     are judged on the input.  With ``keep_first`` the first occurrence in table
     order stays, else all occurrences go.  Null and empty texts have no bytes;
-    repeated rows are occurrences of their own.  An empty table gives an empty
-    result.  ``length`` must be at least ``gram``, and ``gram`` at least 8.
+    repeated rows are occurrences of their own.  Very long texts are searched in
+    overlapping pieces.  An empty table gives an empty result.  ``length`` must be at least ``gram``, and ``gram`` at least 8.
 
     Returns per row: _rid, id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 (hex, of the remaining bytes), spans.
@@ -380,43 +466,58 @@ def remove_repeated_bytes(
     texts = rows.select("rid", "text")
     buckets = max(8, int(total * 2 / (length - gram + 2)) // BUCKET_ITEMS + 1)
 
+    low, high = FILTER_BITS
+    size = min(high, max(low, int(total * 8 / (length - gram + 2)).bit_length()))
     blobs = texts.mapInArrow(_anchor_blobs(length, gram, buckets), "bucket long, blob binary")
-    words = blobs.groupBy("bucket").applyInPandas(_repeated_anchors, "word long, bits long")
-    table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**FILTER_BITS / 64 rows
-    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    words = blobs.groupBy("bucket").applyInPandas(_repeated_anchors(size), "word long, bits long")
+    table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**size / 64 rows
+    bits = np.zeros((1 << size) // 64, np.int64)
     bits[table["word"].to_numpy()] = table["bits"].to_numpy()
     sent = spark.sparkContext.broadcast(bits.tobytes())
 
-    schema = "rid long, anchor long, segment long, windows int, starts array<long>"
-    found = materialize(texts.mapInArrow(_segment_rows(length, gram, sent), schema), "segments")
+    schema = "rid long, anchor long, segment long, windows int, place int, starts array<long>"
+    found = materialize(texts.mapInArrow(_segment_rows(length, gram, sent, size), schema), "segments")
     kinds = found.groupBy("anchor", "segment").agg(
         F.sum(F.size("starts")).alias("n"),
+        F.count(F.lit(1)).alias("texts"),
         F.min(F.struct("rid", F.element_at("starts", 1).alias("start"))).alias("origin"),
         F.min("windows").alias("windows"),
+        F.min("place").alias("place"),
     )
     kinds = materialize(kinds, "segment-kinds")
-    anchors = kinds.groupBy(F.col("anchor").alias("key")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
-    judged = materialize(kinds.join(anchors.filter("total > 1"), F.col("anchor") == F.col("key")).drop("key", "total"), "repeated-segments")
+    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
+    anchors = materialize(anchors.filter("total > 1").withColumn("anchor_rows", F.col("kinds")), "anchors")
+    rows_ = anchors.agg(F.sum("kinds")).first()[0] or 0
+    judged = materialize(spread_join(kinds, anchors, "anchor", "anchor_rows", rows_, by="segment"), "repeated-segments")
 
     one = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
-    settled = judged.filter("kinds = 1").select("anchor", "segment", "origin", one.alias("every"), F.array().cast("array<struct<a:int,b:int>>").alias("before"))
+    settled = judged.filter("kinds = 1").select("anchor", "segment", "texts", "origin", one.alias("every"), F.array().cast("array<struct<a:int,b:int>>").alias("before"))
     mixed = judged.filter("kinds > 1")
     wanted = mixed.groupBy(F.col("origin.rid").alias("want_rid")).agg(
-        F.collect_list(F.struct("anchor", "segment", "n", F.col("origin.start").alias("start"), "windows")).alias("wanted")
+        F.collect_list(
+            F.struct("anchor", "segment", "n", F.col("origin.start").alias("start"), "windows", "place", (F.col("kinds") > split_kinds).alias("split"))
+        ).alias("wanted")
     )
     sources = packed_texts(rows).join(wanted, F.col("rid") == F.col("want_rid")).select("rid", "packed", "wanted")
     pieces = sources.mapInArrow(
-        _segment_texts(length), "anchor long, segment long, n long, rid long, start long, windows int, bytes binary"
+        _segment_texts(length, gram),
+        "key long, anchor long, segment long, n long, rid long, start long, shift int, windows int, bytes binary",
     )
     sorted_ = (
-        pieces.repartition("anchor").sortWithinPartitions("anchor")
+        pieces.repartition("key").sortWithinPartitions("key")
         .mapInArrow(_sort_segments(length), "anchor long, segment long, every array<struct<a:int,b:int>>, before array<struct<a:int,b:int>>")
     )
+    # A segment of a split anchor comes back in two parts; both apply.
     sorted_ = sorted_.withColumnsRenamed({"anchor": "s_anchor", "segment": "s_segment"})
     compared = mixed.join(sorted_, (F.col("anchor") == F.col("s_anchor")) & (F.col("segment") == F.col("s_segment")))
-    verdict = materialize(settled.unionByName(compared.select("anchor", "segment", "origin", "every", "before")), "verdicts")
-    verdict = verdict.withColumnsRenamed({"anchor": "v_anchor", "segment": "v_segment"})
-    whole = found.join(verdict, (F.col("anchor") == F.col("v_anchor")) & (F.col("segment") == F.col("v_segment")))
+    verdict = settled.unionByName(compared.select("anchor", "segment", "texts", "origin", "every", "before"))
+    verdict = verdict.groupBy(F.struct("anchor", "segment").alias("kind")).agg(
+        F.max("texts").alias("texts"), F.first("origin").alias("origin"),
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("every", "before")],
+    )
+    verdict = materialize(verdict, "verdicts")
+    keyed = found.select("rid", "starts", "windows", F.struct("anchor", "segment").alias("kind"))
+    whole = spread_join(keyed, verdict, "kind", "texts", verdict.agg(F.sum("texts")).first()[0] or 0)
     no_ranges = F.lit(None).cast("array<struct<a:int,b:int>>")
     if keep_first:
         # Every occurrence but the very first stands after an equal one.
