@@ -14,6 +14,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round a node takes the smallest root among its neighbours, then the
     root of that root, so the rounds grow with the logarithm of a component's
     width.  Every round is written to the shared folder.  Nodes are longs.
+    Components that have not settled after ``max_rounds`` are an error.
     """
     both = materialize(
         links.filter("a != b").select("a", "b").union(links.filter("a != b").select("b", "a")).distinct().toDF("a", "b"), "links"

@@ -43,6 +43,7 @@ from ledgerline.llm.rows import (
     runs_of_key,
     sequence_hash,
     slices,
+    spread_join,
     text_of,
     with_row_id,
     word_spans,
@@ -251,20 +252,23 @@ def _cell_blobs(width: int, percent: int, buckets: int, sent):
 
 
 def _pack(rid: np.ndarray, sig: np.ndarray, local: np.ndarray) -> bytes:
+    """Signatures (40 bits of each; the bucket tells the rest) and the numbers of their texts, in two bytes where that is enough."""
     head = np.array([len(rid), len(sig), rid[0]], np.int64)
+    kind = np.uint16 if len(rid) <= 1 << 16 else np.uint32
     return b"".join(
         x.tobytes()
-        for x in (head, (rid - rid[0]).astype(np.uint32), sig.astype(np.uint32), local.astype(np.uint16), (sig >> np.uint64(32)).astype(np.uint8))
+        for x in (head, rid - rid[0], sig.astype(np.uint32), local.astype(kind), (sig >> np.uint64(32)).astype(np.uint8))
     )
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     texts, n, base = np.frombuffer(blob, np.int64, 3)
     at = 24
-    rid = np.frombuffer(blob, np.uint32, texts, at) + base
-    low = np.frombuffer(blob, np.uint32, n, at := at + 4 * texts)
-    local = np.frombuffer(blob, np.uint16, n, at := at + 4 * n)
-    high = np.frombuffer(blob, np.uint8, n, at + 2 * n)
+    kind = np.dtype(np.uint16 if texts <= 1 << 16 else np.uint32)
+    rid = np.frombuffer(blob, np.int64, texts, at) + base
+    low = np.frombuffer(blob, np.uint32, n, at := at + 8 * texts)
+    local = np.frombuffer(blob, kind, n, at := at + 4 * n)
+    high = np.frombuffer(blob, np.uint8, n, at + kind.itemsize * n)
     return rid[local], low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
 
 
@@ -486,13 +490,15 @@ def jaccard_components(
     width: int = 5,
     percent: int = 80,
     max_region: int = 2048,
+    broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths.
 
     A set holds the distinct runs of ``width`` words (ASCII lower case) of the
     whole text; a shorter text is one run.  Null, empty and blank texts have an
     empty set and link with nothing, also not with each other.  Repeated rows
-    are copies.  An empty table gives an empty result.
+    are copies.  Texts of any length give their whole set.  An empty table gives
+    an empty result.  Components wider than 2**60 links are an error.
 
     Returns per row: _rid, id, n_shingles, component_id (smallest identifier of
     the component, null only if all are), component_rid (its smallest row).
@@ -504,9 +510,11 @@ def jaccard_components(
     common = found.filter("rid IS NULL").groupBy("shingle").agg(F.sum("texts").alias("texts"))
     listed = common.orderBy(F.desc("texts"), "shingle").limit(COMMON_SHINGLES).select("shingle").toArrow()["shingle"]
     sent = rows.sparkSession.sparkContext.broadcast(listed.to_numpy().view(np.uint64))
-    reps = seen.filter("n > 0").groupBy("key").agg(F.min("rid").alias("rep"))
-    named = materialize(seen.join(reps.withColumnRenamed("key", "rep_key"), F.col("key") == F.col("rep_key"), "left").drop("key", "rep_key"), "representatives")
-    shingles = named.agg(F.sum("n")).first()[0] or 0
+    reps = materialize(seen.filter("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
+    some = seen.agg(F.sum((F.col("n") > 0).cast("long")).alias("texts"), F.sum("n").alias("n")).first()
+    met = spread_join(seen.filter("n > 0"), reps, "key", "copies", some["texts"] or 0).select("rid", "id", "n", "rep")
+    named = materialize(met.unionByName(seen.filter("n = 0").select("rid", "id", "n", F.lit(None).cast("long").alias("rep"))), "named")
+    shingles = some["n"] or 0
     buckets = max(8, int(shingles * 0.36) // BUCKET_ITEMS + 1)
     blobs = rows.select("rid", "text").mapInArrow(_cell_blobs(width, percent, buckets, sent), "bucket long, blob binary")
     stars = blobs.groupBy("bucket").applyInPandas(_cells, "a long, b long").distinct()
@@ -516,7 +524,7 @@ def jaccard_components(
     stars = materialize(stars.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).filter("a != b").distinct(), "cells")
 
     regions = materialize(connected_components(stars).select(F.col("node"), F.col("root").alias("region")), "regions")
-    small = regions.count() <= BROADCAST_NODES
+    small = regions.count() <= broadcast_nodes
     wanted = rows.select("rid", "text").join(F.broadcast(regions) if small else regions, F.col("rid") == F.col("node"))
     sets = wanted.select("region", "rid", "text").mapInArrow(_sets_of(width), "region long, rid long, set binary")
     sizes = regions.groupBy(F.col("region").alias("size_region")).agg(F.count(F.lit(1)).alias("size"))
@@ -535,11 +543,14 @@ def jaccard_components(
         .mapInArrow(_join_regions(percent), "a long, b long").toDF("node", "root")
     )
     roots = materialize((roots.union(extra) if extra is not None else roots).filter("node != root"), "components")
-    rooted = named.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep", "rid")).drop("node")
-    least = rooted.groupBy(F.col("root").alias("least_root")).agg(F.min("id").alias("component_id"), F.min("rid").alias("component_rid"))
-    return rooted.join(least, F.col("root") == F.col("least_root")).select(
-        F.col("rid").alias("_rid"), "id", F.col("n").alias("n_shingles"), "component_id", "component_rid"
-    )
+    # Texts are joined to their components by representative, which few share, or many: then in salted parts.
+    of = reps.select("rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "copies")
+    of = materialize(of, "component-of")
+    rooted = spread_join(named.filter("rep IS NOT NULL"), of, "rep", "copies", some["texts"] or 0)
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.min("rid").alias("component_rid"), F.count(F.lit(1)).alias("members"))
+    alone = named.filter("rep IS NULL").select("rid", "id", "n", F.col("id").alias("component_id"), F.col("rid").alias("component_rid"))
+    found = spread_join(rooted.drop("rep"), least, "root", "members", some["texts"] or 0)
+    return found.select("rid", "id", "n", "component_id", "component_rid").unionByName(alone).withColumnsRenamed({"rid": "_rid", "n": "n_shingles"})
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
