@@ -39,8 +39,8 @@ POSITION_KEYWORDS = {
 
 
 def fold(c: Column) -> Column:
-    """Caseless form of a text; null is empty. Sharp s and final sigma compare as in full case folding."""
-    return F.translate(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    """Caseless form of a text; null is empty. Upper and lower case in turn, so sharp s is ss; both small sigmas are one."""
+    return F.translate(F.lower(F.upper(F.coalesce(c, F.lit("")))), "ς", "σ")
 
 
 def collapse_ws(c: Column) -> Column:
@@ -58,26 +58,34 @@ def contains_folded(columns: list[Column], needle: str) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(fold(c), key) for c in columns))
 
 
+_CLOCK = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?"
+
+
 def parse_date(c: Column) -> Column:
-    """ISO dates and timestamps, and month-first dates with / or -; blanks and dashes are null.
+    """ISO dates and whole ISO timestamps, and month-first dates with / or -; all else is null.
 
     Two-digit years are 1969 to 2068.
     """
     s = strip(c)
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
-    month = [
-        F.when(s.rlike(rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}$"), F.try_to_date(s, f"M{sep}d{sep}yyyy")) for sep in "/-"
-    ]
-    short = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(s, "M/d/yy"))
-    pivot = F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(iso, *month, pivot)
+    iso = F.when(s.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}([T ]{_CLOCK})?$"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+    plain = F.when(s.rlike(r"^\d{8}$"), F.try_to_date(s, "yyyyMMdd"))
+    found = [iso, plain]
+    for sep in "/-":
+        found.append(F.when(s.rlike(rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}$"), F.try_to_date(s, f"M{sep}d{sep}yyyy")))
+        short = F.when(s.rlike(rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{2}}$"), F.try_to_date(s, f"M{sep}d{sep}yy"))
+        found.append(F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short))
+    return F.coalesce(*found)
+
+
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
 def parse_number(c: Column) -> Column:
-    """Numbers with $ , + and accounting parentheses; anything else is 0."""
+    """Numbers with $ , + and accounting parentheses around the whole; anything else is 0."""
     s = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"[$,+]", "")
     negative = s.rlike(r"^\(.*\)$")
-    number = F.regexp_replace(s, r"[()]", "").try_cast("double")
+    inner = F.when(negative, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
+    number = F.when(inner.rlike(NUMBER), inner.try_cast("double"))
     return F.coalesce(F.when(negative, 0 - number).otherwise(number), F.lit(0.0))
 
 

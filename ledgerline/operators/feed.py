@@ -149,6 +149,58 @@ def page(feed: DataFrame, c: FeedCriteria = FeedCriteria(), limit: int = 200, of
     return (rows.offset(offset) if offset else rows).limit(limit)
 
 
+@dataclass(frozen=True)
+class Page:
+    """A page as a caller shows it: rows, whether more follow, how many there are in all (if asked), and how fresh."""
+
+    rows: list
+    has_more: bool
+    total: int | None
+    refreshed_at: object
+    next: Cursor | None
+
+
+def query(
+    feed: DataFrame, c: FeedCriteria = FeedCriteria(), limit: int = 200, offset: int = 0, cursor: Cursor | None = None, with_total: bool = True, refreshed: DataFrame | None = None  # noqa: B008
+) -> Page:
+    """One page with one row more fetched to know whether there are any; a walk by cursor keeps the first page's snapshot.
+
+    refreshed: (domain, refreshed_at) of the markets; the latest of those shown counts.
+    """
+    key = "_key"
+    rows = page(feed, c, limit + 1, offset, cursor).withColumn(key, sort_key(c.sort_field)).collect()
+    shown, more = rows[:limit], len(rows) > limit
+    total = apply_criteria(feed, c).count() if with_total and cursor is None else None
+    at = None
+    if refreshed is not None:
+        names = [m for m in MARKETS if not c.markets or m in c.markets]
+        at = refreshed.filter(F.col("domain").isin(*names)).agg(F.max("refreshed_at")).first()[0]
+    following = None
+    if more:
+        held = cursor.snapshot if cursor else {r["market"]: r["last_row"] for r in snapshot(apply_criteria(feed, FeedCriteria(markets=c.markets))).collect()}
+        last = shown[-1]
+        following = Cursor(last[key], last["filing_date"], last["market_rank"], last["row_id"], held)
+    return Page(shown, more, total, at, following)
+
+
+def investigation(feed: DataFrame, key: str, limit: int = 8) -> DataFrame:
+    """A row with what else its person and its issuer did: ``section`` is anchor, person or issuer; the anchor stands once.
+
+    The anchor's person and identifier are looked up first, one row.
+    """
+    market, row = parse_key(key)
+    anchor = detail(feed, key)
+    found = anchor.select("person", "identifier").head(1)
+    out = anchor.withColumn("section", F.lit("anchor"))
+    if not found:
+        return out
+    for section, column in (("person", "person"), ("issuer", "identifier")):
+        value = found[0][column]
+        if value and value.strip():
+            out = out.unionByName(recent(feed, column, value, limit, (market, row)).withColumn("section", F.lit(section)))
+    return out
+
+
 def parse_key(key: str) -> tuple[str, int]:
     """``us:12`` to its market and row; anything looser is an error."""
     market, colon, number = key.partition(":")

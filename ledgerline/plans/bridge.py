@@ -29,6 +29,8 @@ def us_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_linenumber % 3 = 0 THEN cast(l_orderkey AS string) ELSE '' END AS accession_number",
         "CASE WHEN l_linenumber % 3 = 0 THEN cast(l_linenumber AS string) ELSE '' END AS sec_row_id",
         "l_linenumber % 6 = 0 AS is_amendment", "l_partkey % 97 AS cik", "l_orderkey AS batch", "l_partkey % 40 = 0 AS is_derivative",
+        "l_quantity * 2 AS price", "l_partkey % 50 = 0 AS price_missing",
+        "CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE CASE l_linestatus WHEN 'F' THEN 'M' ELSE 'G' END END AS transaction_code",
     )
 
 
@@ -52,7 +54,7 @@ def congress_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eu_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    line = table(spark, sf_dir, "lineitem")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
@@ -67,7 +69,7 @@ def eu_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE l_returnflag WHEN 'R' THEN 'Sell' WHEN 'A' THEN 'Buy' ELSE 'Other' END AS trade_type",
         "CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity END AS volume", "l_extendedprice AS price",
         "CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity * l_extendedprice END AS total_value",
-        "CASE n_nationkey % 4 WHEN 0 THEN 'GBP' ELSE 'EUR' END AS currency", "l_linenumber AS arrival",
+        "CASE n_nationkey % 4 WHEN 0 THEN 'GBP' ELSE 'EUR' END AS currency", "n_nationkey % 4 AS arrival",
     )
 
 
@@ -100,7 +102,9 @@ US = """SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 +
  l_tax = 0 AS value_missing, l_discount = 0 AS shares_missing,
  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_orderkey AS VARCHAR) ELSE '' END AS accession_number,
  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_linenumber AS VARCHAR) ELSE '' END AS sec_row_id,
- l_linenumber % 6 = 0 AS is_amendment, l_partkey % 97 AS cik, l_orderkey AS batch, l_partkey % 40 = 0 AS is_derivative
+ l_linenumber % 6 = 0 AS is_amendment, l_partkey % 97 AS cik, l_orderkey AS batch, l_partkey % 40 = 0 AS is_derivative,
+ l_quantity * 2 AS price, l_partkey % 50 = 0 AS price_missing,
+ CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE CASE l_linestatus WHEN 'F' THEN 'M' ELSE 'G' END END AS transaction_code
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
 CONGRESS = """SELECT o_orderkey AS row_id, c_name AS official_name, c_custkey, c_mktsegment AS segment,
  CASE o_orderstatus WHEN 'F' THEN 'House' ELSE 'Senate' END AS chamber,
@@ -124,8 +128,8 @@ EU = """SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 +
  CASE l_returnflag WHEN 'R' THEN 'Sell' WHEN 'A' THEN 'Buy' ELSE 'Other' END AS trade_type,
  CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity END AS volume, l_extendedprice AS price,
  CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity * l_extendedprice END AS total_value,
- CASE n_nationkey % 4 WHEN 0 THEN 'GBP' ELSE 'EUR' END AS currency, l_linenumber AS arrival
- FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_orderkey % 4 = 0"""
+ CASE n_nationkey % 4 WHEN 0 THEN 'GBP' ELSE 'EUR' END AS currency, n_nationkey % 4 AS arrival
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"""
 FEED = """SELECT 'US' AS market, 0 AS market_rank, row_id, trade_date AS transaction_date, filing_date, trade_type, company AS issuer,
  ticker AS identifier, insider_name AS person, '' AS role, CASE WHEN shares_missing THEN NULL ELSE shares END AS quantity,
  CAST(NULL AS DOUBLE) AS price, CASE WHEN value_missing THEN NULL ELSE value END AS value, '' AS display_value, 'USD' AS currency,

@@ -69,10 +69,23 @@ _SENATE = """SELECT row_id, CAST(c_custkey AS VARCHAR) || '-' || CAST(year(trade
  FROM congress WHERE chamber = 'Senate'"""
 
 
+def _open_ranges(rows: DataFrame) -> DataFrame:
+    """Some ranges that start at 0, and some that say nothing."""
+    return rows.withColumns({"amount_low": F.when(F.col("row_id") % 3 == 0, 0.0).otherwise(F.col("amount_low")), "amount_high": F.when(F.col("row_id") % 6 == 0, 0.0).otherwise(F.col("amount_high"))})
+
+
 def _bars(s, d) -> DataFrame:
     return b.prices(s, d)
 
 
+def _ledger(s, d) -> DataFrame:
+    """Two entries for every second filing: a try, and a later one of other luck."""
+    tries = b.table(s, d, "orders").filter("o_orderkey % 2 = 0").selectExpr("cast(o_orderkey AS string) AS accession_number", "o_orderstatus = 'F' AS first_ok", "o_orderkey % 3 = 0 AS later_ok")
+    state = lambda ok: F.when(F.col(ok), "success").otherwise("retryable_failure").alias("status")
+    first = tries.select("accession_number", state("first_ok"), F.lit(1).alias("seq"), F.lit(1).alias("attempts"))
+    return first.unionByName(tries.select("accession_number", state("later_ok"), F.lit(2).alias("seq"), F.lit(2).alias("attempts")))
+
+
 def _fetched(s, d) -> DataFrame:
     """The same bars, some changed or lost."""
     bars = b.prices(s, d).filter("day(price_date) != 13 OR symbol != 'BRAND11'")
@@ -88,20 +101,21 @@ def _watch(s, d) -> DataFrame:
     return s.createDataFrame(rows, "kind string, market string, term string")
 
 
-LINKS = f"""WITH native AS (SELECT * FROM us WHERE accession_number != '' AND sec_row_id != '' AND trade_type IN ('Buy', 'Sell', 'Exercise') AND NOT is_derivative
-   AND NOT value_missing AND NOT shares_missing AND filing_date IS NOT NULL),
- scraped AS (SELECT * FROM us WHERE accession_number = '' AND trade_type IN ('Buy', 'Sell', 'Exercise') AND NOT is_derivative
-   AND NOT value_missing AND NOT shares_missing AND filing_date IS NOT NULL),
- sums AS (SELECT ticker, insider_name, trade_date, filing_date, trade_type, accession_number, company, min(row_id) AS lot, sum(abs(shares)) AS s, sum(abs(value)) AS v
-   FROM native GROUP BY ALL HAVING count(*) > 1),
- hits AS (SELECT a.row_id, n.row_id AS lot FROM scraped a JOIN native n USING (ticker, insider_name, trade_date, filing_date, trade_type)
-   WHERE abs(abs(a.shares) - abs(n.shares)) <= 1e-6 AND abs(abs(a.value) - abs(n.value)) <= 1.0
-   UNION ALL SELECT a.row_id, n.lot FROM scraped a JOIN sums n USING (ticker, insider_name, trade_date, filing_date, trade_type)
-   WHERE abs(abs(a.shares) - n.s) <= 1e-6 AND abs(abs(a.value) - n.v) <= 1.0)
- SELECT row_id, min(lot) AS replacement, 'duplicate' AS reason FROM hits GROUP BY row_id HAVING count(DISTINCT lot) = 1"""
+def links(view: str) -> str:
+    """The links of duplicates in a view of US rows, without supersessions."""
+    usable = """trade_type IN ('Buy', 'Sell', 'Exercise') AND transaction_code IN ('', 'P', 'S', 'M') AND NOT is_derivative
+   AND NOT value_missing AND NOT shares_missing AND NOT price_missing AND filing_date IS NOT NULL"""
+    near = "abs(abs(a.shares) - abs(n.shares)) <= 1e-6 AND abs(abs(a.value) - abs(n.value)) <= 1.0"
+    return f"""WITH native AS (SELECT * FROM {view} WHERE accession_number != '' AND sec_row_id != '' AND {usable}),
+ scraped AS (SELECT * FROM {view} WHERE accession_number = '' AND {usable}),
+ met AS (SELECT a.row_id, n.accession_number, n.company, any_value(abs(a.shares)) AS own_s, any_value(abs(a.value)) AS own_v, sum(abs(n.shares)) AS s, sum(abs(n.value)) AS v,
+   count(*) AS n, count(*) FILTER ({near}) AS singles, min(n.row_id) FILTER ({near}) AS one, min(n.row_id) AS lot
+   FROM scraped a JOIN native n USING (ticker, insider_name, trade_date, filing_date, trade_type) GROUP BY a.row_id, n.accession_number, n.company),
+ hits AS (SELECT row_id, CASE WHEN singles = 1 THEN one WHEN singles = 0 AND n > 1 AND abs(own_s - s) <= 1e-6 AND abs(own_v - v) <= 1.0 THEN lot END AS lot FROM met)
+ SELECT row_id, min(lot) AS replacement, 'duplicate' AS reason FROM hits WHERE lot IS NOT NULL GROUP BY row_id HAVING count(*) = 1"""
 
 
-def _near_copies(s, d) -> DataFrame:
+def near_copies(s, d) -> DataFrame:
     """US rows with scraped copies of some filing rows, a little off."""
     us = b.us_trades(s, d)
     copies = us.filter("accession_number != '' AND batch % 3 = 0").selectExpr(
@@ -111,13 +125,45 @@ def _near_copies(s, d) -> DataFrame:
     return us.unionByName(copies)
 
 
-_COPIES = f"""us0 AS ({b.US}), us AS (SELECT * FROM us0 UNION ALL BY NAME SELECT * REPLACE (row_id + 1000000000000000000 AS row_id, value + 0.5 AS value,
+COPIES0 = f"""us0 AS ({b.US}), us AS (SELECT * FROM us0 UNION ALL BY NAME SELECT * REPLACE (row_id + 1000000000000000000 AS row_id, value + 0.5 AS value,
  'openinsider' AS source, '' AS accession_number, '' AS sec_row_id) FROM us0 WHERE accession_number != '' AND batch % 3 = 0)"""
 
 
+#: The same rows beside the view ``us``.
+COPIES = """copies AS (SELECT * FROM us UNION ALL BY NAME SELECT * REPLACE (row_id + 1000000000000000000 AS row_id, value + 0.5 AS value,
+ 'openinsider' AS source, '' AS accession_number, '' AS sec_row_id) FROM us WHERE accession_number != '' AND batch % 3 = 0)"""
+
+
+def filed_rows(s, d) -> DataFrame:
+    """Filing rows with their details, and amendments of some: repeated, corrected with and without saying so, and adding lots."""
+    us = b.us_trades(s, d).filter("accession_number != ''")
+    plain = us.selectExpr(
+        "row_id", "accession_number", "sec_row_id", "lpad(cast(cik AS string), 10, '0') AS cik_issuer", "cast(abs(hash(insider_name)) % 100000 AS string) AS cik_insider",
+        "last_day(trade_date) AS period_of_report", "'4' AS form_type", "coalesce(filing_date, trade_date) AS filing_date", "cast(NULL AS date) AS original_submission_date", "false AS is_amendment",
+        "transaction_code", "'A' AS acquired_disposed", "'D' AS direct_or_indirect", "is_derivative", "trade_date", "shares", "shares_missing", "price", "price_missing", "value", "value_missing",
+        "0D AS shares_owned_after", "true AS shares_owned_after_missing", "company", "batch",
+    )
+    said = F.when(F.col("batch") % 3 == 0, "Corrected the number of shares.").when(F.col("batch") % 3 == 1, "Corrects the price").otherwise("Adds an omitted lot; corrects the number of shares")
+    amended = plain.filter("batch % 2 = 0").withColumns({
+        "row_id": F.col("row_id") + F.lit(10**18), "accession_number": F.concat(F.lit("A"), "accession_number"), "form_type": F.lit("4/A"), "is_amendment": F.lit(True),
+        "filing_date": F.date_add("filing_date", 30), "shares": F.when(F.col("batch") % 4 == 0, F.col("shares") + 1).otherwise(F.col("shares")), "remarks": said,
+    })
+    rows = plain.withColumn("remarks", F.lit("")).unionByName(amended)
+    detail = F.to_json(F.struct(F.lit(True).alias("narrative_complete"), "remarks", F.col("company").alias("security_title")))
+    return rows.withColumn("sec_detail_json", detail)
+
+
 def _chain(s, d) -> DataFrame:
-    """Replacement links in chains of five orders."""
-    return b.table(s, d, "orders").filter("o_orderkey % 5 != 0").selectExpr("o_orderkey AS row_id", "o_orderkey + 1 AS replacement")
+    """Replacement links in chains of up to 500 orders."""
+    return b.table(s, d, "orders").filter("o_orderkey % 500 != 0").selectExpr("o_orderkey AS row_id", "o_orderkey + 1 AS replacement")
+
+
+def _committee_members(s, d) -> DataFrame:
+    """Members with the sectors of a committee each; their names are written surname first."""
+    customer = b.table(s, d, "customer")
+    named = members.demo_members(customer).join(customer.select(F.col("c_name").alias("member"), "c_custkey"), "member")
+    shown = named.withColumn("name", F.concat_ws(" ", "last_name", "first_name")).withColumn("sectors", members.sectors(F.array(members.demo_committee(F.col("c_custkey")))))
+    return shown.drop("c_custkey")
 
 
 def _lots(s, d, amended: bool) -> DataFrame:
@@ -140,21 +186,22 @@ QUERIES = {
     "subtract_months": lambda s, d: b.table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"), x.subtract_months(F.col("o_orderdate").cast("date"), 6).alias("day")),
     "name_tokens": lambda s, d: _text(s, d, NAME_TEXT).select("row_id", F.array_join(x.name_tokens(F.col("raw")), " ").alias("tokens")),
     "canonical_key": lambda s, d: b.congress_trades(s, d).select("row_id", x.digest(F.col("official_name"), F.col("trade_date"), F.col("filing_date"), F.col("trade_type"), F.col("row_id")).alias("key")),
-    "format_value": lambda s, d: b.us_trades(s, d).select("row_id", x.format_reported(F.floor("value").cast("double"), F.col("value_missing")).alias("shown")),
+    "format_value": lambda s, d: b.us_trades(s, d).select("row_id", x.format_reported(F.floor("value").cast("double") + 0.5, F.col("value_missing")).alias("shown")),
     "us_identity": lambda s, d: trades.us_identity(b.us_trades(s, d)).groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id")),
-    "us_merge": lambda s, d: trades.merge_us(b.us_trades(s, d)),
-    "eu_merge": lambda s, d: trades.first_filled(b.eu_trades(s, d), ["isin", "insider_name", "trade_type"], ["position", "volume", "filing_date"], ["arrival", "row_id"]),
-    "congress_merge": lambda s, d: trades.last_filled(b.congress_trades(s, d), ["official_name", "trade_type"], ["filing_date", "amount_low", "ticker"], ["row_id"]),
+    "us_merge": lambda s, d: trades.merge_us(b.us_trades(s, d)).select("identity", "ticker", "company", "insider_name", "trade_date", "filing_date", "trade_type", "value", "value_missing", "shares", "shares_missing", "price", "price_missing", "accession_number", "sec_row_id", "is_derivative", "provenance", "observations"),
+    "eu_merge": lambda s, d: trades.first_filled(b.eu_trades(s, d), ["isin", "insider_name", "trade_type"], ["position", "volume", "filing_date"], ["arrival", "row_id", "price"]),
+    "congress_merge": lambda s, d: trades.merge_congress(_open_ranges(b.congress_trades(s, d)), ["official_name", "trade_type"], ["row_id"]).select("official_name", "trade_type", "filing_date", "amount_low", "amount_high", "ticker", "filing_complete"),
+    "last_filled": lambda s, d: trades.last_filled(b.congress_trades(s, d), ["official_name", "trade_type"], ["filing_date", "ticker"], ["row_id"]),
     "sec_reparse": lambda s, d: trades.last_wins(b.us_trades(s, d).filter("accession_number != ''"), ["accession_number", "sec_row_id"], ["row_id"]).select("accession_number", "sec_row_id", "row_id", "value"),
     "lot_sums": lambda s, d: trades.lot_sums(b.us_trades(s, d)),
-    "dup_links": lambda s, d: trades.duplicate_links(_near_copies(s, d)),
-    "visible_us": lambda s, d: trades.visible(_near_copies(s, d), trades.duplicate_links(_near_copies(s, d))).groupBy("source").agg(F.count(F.lit(1)).alias("n")),
+    "dup_links": lambda s, d: trades.duplicate_links(near_copies(s, d)),
+    "visible_us": lambda s, d: trades.visible(near_copies(s, d), trades.duplicate_links(near_copies(s, d))).groupBy("source").agg(F.count(F.lit(1)).alias("n")),
     "senate_supersede": lambda s, d: trades.supersede_reports(_senate(s, d)),
     "visible_congress": lambda s, d: trades.visible(_senate(s, d), trades.supersede_reports(_senate(s, d))).select("row_id", "group_key"),
     "link_closure": lambda s, d: trades.close_links(_chain(s, d)),
     "lot_pairing": lambda s, d: trades.pair_lots(_lots(s, d, False), _lots(s, d, True), ["who", "trade_type", "shares"]),
-    "issuer_scope": lambda s, d: trades.issuer_scope(b.us_trades(s, d).filter("batch < 2000"), ["BRAND11"]).select("row_id", "cik"),
-    "us_with_ledger": lambda s, d: trades.with_ledger(b.us_trades(s, d).filter("accession_number != ''"), trades.best_ledger(b.table(s, d, "orders").selectExpr("cast(o_orderkey AS string) AS accession_number", "CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'retryable_failure' END AS status", "o_orderkey AS seq", "1 AS attempts").filter("seq % 2 = 0"))).select("row_id", "status", "attempts"),
+    "issuer_scope": lambda s, d: trades.issuer_scope(b.us_trades(s, d), ["BRAND11"]).select("row_id", "cik"),
+    "us_with_ledger": lambda s, d: trades.with_ledger(b.us_trades(s, d).filter("accession_number != ''"), trades.best_ledger(_ledger(s, d))).select("row_id", "status", "attempts"),
     "ingestion_seq": lambda s, d: _sequenced(s, d).select("event_id", "sequence"),
     "alerts_new": lambda s, d: timeline.pending_alerts(_sequenced(s, d).filter("event_type = 'purchase' OR value > 50"), 500, 100).select("sequence", "event_id"),
     "alerts_count": lambda s, d: _sequenced(s, d).filter("sequence > 500 AND value > 50").agg(F.count(F.lit(1)).alias("n")),
@@ -170,13 +217,13 @@ QUERIES = {
     "price_basis_changed": lambda s, d: timeline.basis_changed(_bars(s, d), _fetched(s, d)),
     "price_replacement_ok": lambda s, d: timeline.replacement_ok(_bars(s, d), _fetched(s, d)),
     "price_overlap": lambda s, d: timeline.nearest_bars(_bars(s, d), date(1997, 5, 1), date(1997, 5, 20)),
-    "asof_markers": lambda s, d: timeline.asof_close(b.us_trades(s, d).filter("batch % 7 = 0").select("row_id", F.col("ticker").alias("symbol"), F.col("trade_date").alias("day")), _bars(s, d).filter("day(price_date) <= 20")),
+    "asof_markers": lambda s, d: timeline.asof_close(b.us_trades(s, d).select("row_id", F.col("ticker").alias("symbol"), F.col("trade_date").alias("day")), _bars(s, d).filter("day(price_date) <= 20")),
     "orphan_rows": lambda s, d: b.table(s, d, "lineitem").join(b.table(s, d, "orders").filter("o_orderkey % 9 != 0"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")),
     "filing_assembly": lambda s, d: compare.assemble_filings(b.table(s, d, "orders").selectExpr("o_orderkey AS accession", "o_orderstatus AS form"), {"rows": b.table(s, d, "lineitem").selectExpr("l_orderkey AS accession", "l_linenumber AS line", "l_partkey AS part")}).select("accession", "form", F.size("rows").cast("long").alias("rows"), F.get("rows", F.lit(0))["part"].alias("first_part")),
-    "sec_compare": lambda s, d: compare.compare_lots(_near_copies(s, d)),
-    "sec_supersede": lambda s, d: compare.supersede_lines(compare.line_rows(b.us_trades(s, d))),
+    "sec_compare": lambda s, d: compare.compare_lots(near_copies(s, d)),
+    "sec_supersede": lambda s, d: compare.supersede_lines(compare.line_rows(filed_rows(s, d), _ledger(s, d))),
     "flag_congress": lambda s, d: members.flag(b.congress_trades(s, d).select("row_id", F.col("official_name").alias("name")), members.demo_members(b.table(s, d, "customer"))),
-    "congress_filter": lambda s, d: trades.filter_congress(b.congress_trades(s, d).withColumn("sectors", members.sectors(F.array("segment"))), trade_type="Purchase", min_value=15001, sector="Technology", since=LO, until=HI).select("row_id", "amount_low"),
+    "congress_filter": lambda s, d: trades.filter_congress(members.official_sectors(b.congress_trades(s, d), _committee_members(s, d)), trade_type="Purchase", min_value=15001, sector="Technology", since=LO, until=HI).select("row_id", "amount_low"),
     "sector_counts": lambda s, d: b.table(s, d, "customer").select(F.explode(members.sectors(F.array(members.demo_committee(F.col("c_custkey")), members.demo_committee(F.col("c_custkey") + 3)))).alias("sector")).groupBy("sector").agg(F.count(F.lit(1)).alias("n")),
 }
 
@@ -192,6 +239,20 @@ def _match(raw: str, results: list[str], name: str) -> str:
     return f"SELECT o_orderkey AS row_id, CASE o_orderkey % {n} {cases} END AS {name} FROM orders"
 
 
+_NATIVE = "bool_or(accession_number != '' AND sec_row_id != '')"
+
+
+def _either(c: str) -> str:
+    """The last of a filing row, the greatest of what scrapers saw."""
+    return f"CASE WHEN {_NATIVE} THEN arg_max_null({c}, row_id) ELSE max({c}) END AS {c}"
+
+
+def _number(c: str) -> str:
+    best = f"max((NOT {c}_missing, abs({c}), {c}))"
+    return f"""CASE WHEN {_NATIVE} THEN arg_max({c}, row_id) ELSE {best}[3] END AS {c},
+ CASE WHEN {_NATIVE} THEN arg_max({c}_missing, row_id) ELSE NOT {best}[1] END AS {c}_missing"""
+
+
 SQL = {
     "parse_date": _match(DATE_TEXT, ["DATE '2024-03-05'", "DATE '2024-03-05'", "DATE '1970-03-05'", "NULL", "NULL", "DATE '2024-03-05'", "DATE '2068-12-31'", "NULL"], "parsed"),
     "parse_number": "SELECT o_orderkey AS row_id, CAST(CASE o_orderkey % 6 WHEN 0 THEN o_custkey * 1000 + 0.5 WHEN 1 THEN -o_custkey WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE o_custkey END AS DOUBLE) AS parsed FROM orders",
@@ -208,35 +269,38 @@ SQL = {
     "name_tokens": _match(NAME_TEXT, ["'john q public'", "'o''neil-smith'", "'mary jones'", "''", "'ann lee'"], "tokens"),
     "canonical_key": sql("""SELECT row_id, sha256(concat_ws(chr(31), '=' || official_name, '=' || CAST(trade_date AS VARCHAR), coalesce('=' || CAST(filing_date AS VARCHAR), '~'),
  '=' || trade_type, '=' || CAST(row_id AS VARCHAR))) AS key FROM congress"""),
-    "format_value": sql("SELECT row_id, CASE WHEN value_missing THEN 'N/A' ELSE format('{:,}', CAST(floor(value) AS BIGINT)) END AS shown FROM us"),
+    "format_value": sql("SELECT row_id, CASE WHEN value_missing THEN 'N/A' ELSE format('{:,}', CAST(round_even(floor(value) + 0.5, 0) AS BIGINT)) END AS shown FROM us"),
     "us_identity": sql("SELECT identity, count(*) AS n, min(row_id) AS row_id FROM ided GROUP BY identity", "__IDED__"),
-    "us_merge": sql("""SELECT identity, max(ticker) AS ticker, max(company) AS company, max(insider_name) AS insider_name, max(trade_date) AS trade_date, max(filing_date) AS filing_date,
- max(trade_type) AS trade_type, arg_max(value, (NOT value_missing)::INT * 1e12 + value) AS value, bool_and(value_missing) AS value_missing,
- arg_max(shares, (NOT shares_missing)::INT * 1e12 + shares) AS shares, array_to_string(list_sort(list_distinct(list(source))), ',') AS provenance, count(*) AS observations
- FROM ided GROUP BY identity""", "__IDED__"),
-    "eu_merge": sql("""SELECT isin, insider_name, trade_type, arg_min(position, (arrival, row_id)) FILTER (WHERE position != '') AS position,
- arg_min(volume, (arrival, row_id)) FILTER (WHERE volume IS NOT NULL) AS volume, arg_min(filing_date, (arrival, row_id)) FILTER (WHERE filing_date IS NOT NULL) AS filing_date
+    "us_merge": sql(f"""SELECT identity, {", ".join(_either(c) for c in ("ticker", "company", "insider_name", "trade_date", "filing_date", "trade_type", "is_derivative"))},
+ {", ".join(_number(c) for c in ("value", "shares", "price"))}, max((accession_number, sec_row_id))[1] AS accession_number, max((accession_number, sec_row_id))[2] AS sec_row_id,
+ array_to_string(list_sort(list_distinct(list(source))), ',') AS provenance, count(*) AS observations FROM ided GROUP BY identity""", "__IDED__"),
+    "eu_merge": sql("""SELECT isin, insider_name, trade_type, arg_min(position, (arrival, row_id, price)) FILTER (WHERE position != '') AS position,
+ arg_min(volume, (arrival, row_id, price)) FILTER (WHERE volume IS NOT NULL) AS volume, arg_min(filing_date, (arrival, row_id, price)) FILTER (WHERE filing_date IS NOT NULL) AS filing_date
  FROM eu GROUP BY isin, insider_name, trade_type"""),
     "congress_merge": sql("""SELECT official_name, trade_type, arg_max(filing_date, row_id) FILTER (WHERE filing_date IS NOT NULL) AS filing_date,
- arg_max(amount_low, row_id) AS amount_low, arg_max(ticker, row_id) AS ticker FROM congress GROUP BY official_name, trade_type"""),
+ coalesce(arg_max(amount_low, row_id) FILTER (WHERE row_id % 6 != 0), 0) AS amount_low, coalesce(arg_max(amount_high, row_id) FILTER (WHERE row_id % 6 != 0), 0) AS amount_high,
+ arg_max(ticker, row_id) AS ticker, arg_max(filing_complete, row_id) AS filing_complete FROM (SELECT * REPLACE (CASE WHEN row_id % 3 = 0 THEN 0 ELSE amount_low END AS amount_low,
+ CASE WHEN row_id % 6 = 0 THEN 0 ELSE amount_high END AS amount_high) FROM congress) GROUP BY official_name, trade_type"""),
+    "last_filled": sql("""SELECT official_name, trade_type, arg_max(filing_date, row_id) FILTER (WHERE filing_date IS NOT NULL) AS filing_date,
+ arg_max(ticker, row_id) AS ticker FROM congress GROUP BY official_name, trade_type"""),
     "sec_reparse": sql("""SELECT accession_number, sec_row_id, max(row_id) AS row_id, arg_max(value, row_id) AS value FROM us WHERE accession_number != ''
  GROUP BY accession_number, sec_row_id"""),
     "lot_sums": sql("""SELECT accession_number, company, sum(CAST(abs(shares) AS DECIMAL(18,2))) AS shares, sum(CAST(abs(value) AS DECIMAL(18,2))) AS value, count(*) AS lots
  FROM us WHERE accession_number != '' GROUP BY accession_number, company"""),
-    "dup_links": f"WITH {_COPIES} SELECT * FROM ({LINKS})",
-    "visible_us": f"WITH {_COPIES}, links AS ({LINKS}) SELECT source, count(*) AS n FROM us WHERE row_id NOT IN (SELECT row_id FROM links) GROUP BY source",
+    "dup_links": f"WITH {COPIES0} SELECT * FROM ({links('us')})",
+    "visible_us": f"WITH {COPIES0}, links AS ({links('us')}) SELECT source, count(*) AS n FROM us WHERE row_id NOT IN (SELECT row_id FROM links) GROUP BY source",
     "senate_supersede": sql("""SELECT r.row_id, w.first_row AS replacement, 'superseded' AS reason FROM r JOIN w USING (group_key)
  WHERE r.doc_id != w.doc_id AND r.filing_date < w.filed""", "__SENATE__"),
     "visible_congress": sql("""SELECT row_id, group_key FROM r WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.group_key = r.group_key
  AND r.doc_id != w.doc_id AND r.filing_date < w.filed)""", "__SENATE__"),
-    "link_closure": """SELECT o_orderkey AS row_id, (SELECT min(e) FROM (SELECT o_orderkey + k AS e, o_orderkey AS o FROM range(1, 6) t(k))
- WHERE e % 5 = 0 OR e NOT IN (SELECT o_orderkey FROM orders)) AS replacement FROM orders WHERE o_orderkey % 5 != 0""",
+    "link_closure": """SELECT o.o_orderkey AS row_id, e.e AS replacement FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 500 != 0) o
+ ASOF JOIN (SELECT o_orderkey + 1 AS e FROM orders WHERE o_orderkey % 500 != 0 AND ((o_orderkey + 1) % 500 = 0 OR o_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders))) e ON o.o_orderkey < e.e""",
     "lot_pairing": sql("""SELECT a.row_id AS old_row, b.row_id AS new_row FROM lots a JOIN lots b ON NOT a.is_amendment AND b.is_amendment AND a.who = b.who
  AND a.trade_type = b.trade_type AND a.shares = b.shares AND a.k = b.k""", """lots AS (SELECT lower(trim(insider_name)) AS who, trade_type, shares, row_id, is_amendment,
  row_number() OVER (PARTITION BY lower(trim(insider_name)), trade_type, shares, is_amendment ORDER BY row_id) AS k FROM us)"""),
-    "issuer_scope": sql("SELECT row_id, cik FROM us WHERE batch < 2000 AND cik IN (SELECT cik FROM us WHERE batch < 2000 AND ticker = 'BRAND11')"),
+    "issuer_scope": sql("SELECT row_id, cik FROM us WHERE cik IN (SELECT cik FROM us WHERE ticker = 'BRAND11')"),
     "us_with_ledger": sql("""SELECT row_id, status, attempts FROM us LEFT JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS accession_number,
- CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'retryable_failure' END AS status, CAST(1 AS BIGINT) AS attempts FROM orders WHERE o_orderkey % 2 = 0) USING (accession_number)
+ CASE WHEN o_orderstatus = 'F' OR o_orderkey % 3 = 0 THEN 'success' ELSE 'retryable_failure' END AS status, CAST(3 AS BIGINT) AS attempts FROM orders WHERE o_orderkey % 2 = 0) USING (accession_number)
  WHERE accession_number != ''"""),
     "ingestion_seq": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS sequence FROM events",
     "alerts_new": """SELECT sequence, event_id FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS sequence FROM events)
@@ -259,13 +323,13 @@ SQL = {
     "price_basis_changed": sql(f"SELECT symbol, count(*) AS overlap, bool_or(abs(p.close - f.close) > greatest(1e-8, 1e-6 * greatest(abs(p.close), abs(f.close)))) AS changed FROM prices p JOIN ({_FETCHED}) f USING (symbol, price_date) GROUP BY symbol"),
     "price_replacement_ok": sql(f"SELECT symbol, count(*) FILTER (WHERE f.close IS NULL) AS missing FROM prices p LEFT JOIN ({_FETCHED}) f USING (symbol, price_date) GROUP BY symbol"),
     "price_overlap": sql("SELECT symbol, max(price_date) FILTER (WHERE price_date < DATE '1997-05-01') AS before, min(price_date) FILTER (WHERE price_date > DATE '1997-05-20') AS after FROM prices GROUP BY symbol"),
-    "asof_markers": sql("""SELECT m.row_id, m.symbol, m.day, coalesce(q.close, f.close) AS close FROM (SELECT row_id, ticker AS symbol, trade_date AS day FROM us WHERE batch % 7 = 0) m
+    "asof_markers": sql("""SELECT m.row_id, m.symbol, m.day, coalesce(q.close, f.close) AS close FROM (SELECT row_id, ticker AS symbol, trade_date AS day FROM us) m
  ASOF LEFT JOIN (SELECT * FROM prices WHERE day(price_date) <= 20) q ON m.symbol = q.symbol AND m.day >= q.price_date
  LEFT JOIN (SELECT symbol, arg_min(close, price_date) AS close FROM prices WHERE day(price_date) <= 20 GROUP BY symbol) f ON f.symbol = m.symbol"""),
     "orphan_rows": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 9 != 0) GROUP BY l_orderkey",
     "filing_assembly": """SELECT o_orderkey AS accession, o_orderstatus AS form, coalesce(n, 0) AS rows, part AS first_part FROM orders LEFT JOIN (
  SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
-    "congress_filter": sql("SELECT row_id, amount_low FROM congress WHERE trade_type = 'Purchase' AND amount_low >= 15001 AND lower(segment) LIKE '%technology%' AND filing_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"),
+    "congress_filter": sql("SELECT row_id, amount_low FROM congress WHERE trade_type = 'Purchase' AND amount_low >= 15001 AND c_custkey % 6 = 3 AND filing_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"),
     "flag_congress": sql("SELECT row_id, official_name AS name, official_name AS member FROM congress WHERE c_custkey % 3 = 0"),
     "sector_counts": """SELECT sector, count(*) AS n FROM (SELECT DISTINCT c_custkey, sector FROM (SELECT c_custkey,
  unnest([['Defense', 'Energy', 'Finance', 'Technology', 'Healthcare', 'Other'][c_custkey % 6 + 1], ['Defense', 'Energy', 'Finance', 'Technology', 'Healthcare', 'Other'][(c_custkey + 3) % 6 + 1]]) AS sector
@@ -274,9 +338,9 @@ SQL = {
 
 _IDED = r"""ided AS (SELECT *, CASE WHEN accession_number != '' AND sec_row_id != '' THEN sha256(concat_ws(chr(31), '=sec', '=' || accession_number, '=' || sec_row_id))
  ELSE sha256(concat_ws(chr(31), '=scraper', '=' || upper(trim(ticker)), '=' || lower(trim(insider_name)), '=' || CAST(trade_date AS VARCHAR), '=' || trade_type,
- '=' || CAST(CAST(round(abs(shares) * 100) AS BIGINT) AS VARCHAR), '=' || CAST(shares_missing AS VARCHAR))) END AS identity FROM us)"""
+ '=' || CAST(abs(shares) AS VARCHAR), '=' || CAST(price AS VARCHAR), '=' || CAST(shares_missing AS VARCHAR), '=' || CAST(price_missing AS VARCHAR))) END AS identity FROM us)"""
 _SENATE_VIEWS = f"""r AS ({_SENATE}), docs AS (SELECT group_key, doc_id, min(filing_date) AS filed, bool_and(is_amendment) AS amended, bool_or(is_amendment) AS some_,
- bool_and(filing_complete) AS complete, min(row_id) AS first_row FROM r GROUP BY group_key, doc_id), g AS (SELECT group_key, count(*) FILTER (WHERE NOT some_) AS originals,
- max(filed) FILTER (WHERE NOT some_) AS original_filed, max((filed, doc_id, first_row)) FILTER (WHERE amended AND complete AND filed IS NOT NULL) AS win FROM docs GROUP BY group_key),
- w AS (SELECT group_key, win[1] AS filed, win[2] AS doc_id, win[3] AS first_row FROM g WHERE originals <= 1 AND win IS NOT NULL AND (original_filed IS NULL OR original_filed < win[1]))"""
+ bool_and(filing_complete) AS complete, min(row_id) AS first_row FROM r WHERE filing_date IS NOT NULL GROUP BY group_key, doc_id), g AS (SELECT group_key, count(*) FILTER (WHERE NOT some_) AS originals,
+ max(filed) FILTER (WHERE NOT some_) AS original_filed, max((filed, doc_id, first_row)) FILTER (WHERE amended AND complete) AS win FROM docs GROUP BY group_key),
+ w AS (SELECT group_key, win[1] AS filed, win[2] AS doc_id, win[3] AS first_row FROM g WHERE originals <= 1 AND win IS NOT NULL AND (original_filed IS NULL OR original_filed <= win[1]))"""
 SQL = {k: v.replace("__IDED__", _IDED).replace("__SENATE__", _SENATE_VIEWS) for k, v in SQL.items()}

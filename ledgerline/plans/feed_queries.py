@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import classify_direction, fold, strip
+from ledgerline.functions.text import fold
 from ledgerline.operators import feed as feeds
 from ledgerline.operators import trades
 from ledgerline.operators.feed import Cursor, FeedCriteria
@@ -20,6 +20,21 @@ SLIM = ", ".join(_SLIM)
 CURSOR = Cursor(date(1998, 1, 5), date(1998, 1, 7), 0, 500, {"US": 10**15, "Congress": 10**6, "Europe": 10**15})
 SEARCH = " OR ".join(f"contains(lower({c}), '0000000{{n}}')" for c in feeds.SEARCHED)
 
+
+
+def _numbered(s, d):
+    """US rows whose value is their order's number: rows of one number are the same."""
+    return b.us_trades(s, d).select("row_id", "batch", F.col("batch").cast("double").alias("value"))
+
+
+def _us_query(s, d):
+    from ledgerline.plans.domain_queries import near_copies
+
+    rows = near_copies(s, d)
+    asked = trades.filter_us(rows, ticker="brand11")
+    return trades.query_us(rows, trades.duplicate_links(asked), ticker="brand11", since=FROM, until=TO).select("row_id", "source")
+
+
 QUERIES = {
     "feed_page": lambda s, d: feeds.page(b.feed(s, d)).select(*_SLIM),
     "feed_projection": lambda s, d: b.feed(s, d),
@@ -48,19 +63,19 @@ QUERIES = {
     "us_latest": lambda s, d: trades.latest(b.us_trades(s, d), ("filing_date", "trade_date"), 100).select("row_id", "filing_date", "trade_date"),
     "eu_latest": lambda s, d: trades.latest(b.eu_trades(s, d), ("trade_date", "filing_date"), 100).select("row_id", "filing_date", "trade_date"),
     "us_by_provenance": lambda s, d: trades.by_provenance(b.us_trades(s, d).withColumn("provenance", F.when(F.col("batch") % 2 == 0, F.array("source", F.lit("openinsider")))), ["openinsider"]).select("row_id", "source"),
-    "us_query": lambda s, d: trades.query_us(b.us_trades(s, d), trades.duplicate_links(b.us_trades(s, d)), ticker="brand11", since=FROM, until=TO).select("row_id", "source"),
+    "us_query": lambda s, d: _us_query(s, d),
     "us_query_raw": lambda s, d: trades.query_us(b.us_trades(s, d), None, ticker="brand11", since=FROM, until=TO).select("row_id", "source"),
-    "congress_query": lambda s, d: trades.query_congress(b.congress_trades(s, d), official="000007", chamber="House").select("row_id", "official_name"),
+    "congress_query": lambda s, d: trades.query_congress(b.congress_trades(s, d), official="000000007, Customer", chamber="House").select("row_id", "official_name"),
     "congress_scan_order": lambda s, d: trades.congress_scan_order(b.congress_trades(s, d), 100).select("row_id", "filing_date", "trade_date", "official_name"),
-    "eu_query": lambda s, d: trades.filter_eu(b.eu_trades(s, d), isin=None, country="FR", since=FROM, until=TO).filter(F.col("source").isin("amf")).select("row_id", "isin"),
-    "eu_scan_order": lambda s, d: b.eu_trades(s, d).orderBy(F.desc_nulls_last("trade_date"), F.desc_nulls_last("filing_date"), F.desc("source"), "row_id").limit(100).select("row_id", "trade_date", "filing_date", "source"),
+    "eu_query": lambda s, d: trades.query_eu(b.eu_trades(s, d).withColumn("provenance", F.when(F.col("volume") > 20, F.array(F.lit("bafin")))), isin="fr0000000042", country="FR", since=date(1995, 1, 1), until=date(2001, 12, 31), sources=["bafin"]).select("row_id", "isin"),
+    "eu_scan_order": lambda s, d: trades.eu_scan_order(b.eu_trades(s, d), 100).select("row_id", "trade_date", "filing_date", "source"),
     "eu_multi_source": lambda s, d: trades.last_wins(b.eu_trades(s, d), ["isin", "insider_name", "trade_type"], ["arrival", "row_id"]).select("isin", "insider_name", "trade_type", "row_id"),
-    "eu_verify_isin": lambda s, d: b.eu_trades(s, d).filter(F.upper(strip(F.col("isin"))) == "DE0000000042").select("row_id", "isin"),
+    "eu_verify_isin": lambda s, d: trades.verify_isin(b.eu_trades(s, d), " de0000000042 ").select("row_id", "isin"),
     "overlay_trades": lambda s, d: trades.overlay(b.us_trades(s, d), b.congress_trades(s, d), ["BRAND11", "T7"], FROM, TO),
-    "watch_symbols": lambda s, d: trades.ordered_distinct(b.us_trades(s, d).filter("batch < 200"), fold(F.col("ticker")), "row_id"),
-    "house_search": lambda s, d: b.congress_trades(s, d).filter((F.col("chamber") == "House") & F.contains(fold(F.col("official_name")), F.lit("00001")) & (F.col("filing_date").isNull() | F.col("filing_date").between(F.lit(FROM), F.lit(TO)))).select("row_id", "official_name", "filing_date"),
-    "reject_rows": lambda s, d: trades.reject_rows(b.us_trades(s, d).withColumn("shares", F.when(F.col("batch") % 10 == 0, -F.col("shares")).otherwise(F.col("shares")))).groupBy("error").agg(F.count(F.lit(1)).alias("n")),
-    "upsert_counts": lambda s, d: trades.upsert_outcomes(b.us_trades(s, d).filter("batch % 2 = 0"), b.us_trades(s, d).filter("batch % 3 = 0").withColumn("value", F.when(F.col("batch") % 4 == 0, F.col("value") + 1).otherwise(F.col("value"))), "row_id", ["value", "source"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
+    "watch_symbols": lambda s, d: trades.ordered_distinct(b.us_trades(s, d), fold(F.col("ticker")), "row_id"),
+    "house_search": lambda s, d: trades.search_house(b.congress_trades(s, d).withColumn("filing_type", F.when(F.col("is_amendment"), "A").otherwise("P")), name="00001", kind="P", since=FROM, until=TO).select("row_id", "official_name", "filing_date"),
+    "reject_rows": lambda s, d: trades.reject_rows(b.us_trades(s, d).withColumns({"shares": F.when(F.col("batch") % 10 == 0, -F.col("shares")).otherwise(F.col("shares")), "trade_type": F.when(F.col("batch") % 10 == 1, "Gift").otherwise(F.col("trade_type")), "ticker": F.when(F.col("batch") % 10 == 2, None).otherwise(F.col("ticker"))})).groupBy("error").agg(F.count(F.lit(1)).alias("n")),
+    "upsert_counts": lambda s, d: trades.upsert_outcomes(_numbered(s, d).filter("batch % 2 = 0").dropDuplicates(["row_id"]), _numbered(s, d).withColumn("value", F.when(F.col("batch") % 4 == 0, F.col("value") + 1).otherwise(F.col("value"))), "row_id", ["value"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
 }
 
 _AFTER = """(transaction_date IS NULL OR transaction_date < DATE '1998-01-05' OR (transaction_date = DATE '1998-01-05' AND
@@ -103,21 +118,21 @@ SQL = {
     "us_latest": sql("SELECT row_id, filing_date, trade_date FROM us ORDER BY filing_date DESC NULLS LAST, trade_date DESC NULLS LAST, row_id LIMIT 100"),
     "eu_latest": sql("SELECT row_id, filing_date, trade_date FROM eu ORDER BY trade_date DESC NULLS LAST, filing_date DESC NULLS LAST, row_id LIMIT 100"),
     "us_by_provenance": sql("SELECT row_id, source FROM us WHERE source = 'openinsider' OR batch % 2 = 0"),
-    "us_query": sql(f"""SELECT row_id, source FROM us WHERE ticker = 'BRAND11' AND filing_date {_RANGE}
- AND NOT EXISTS (SELECT 1 FROM links WHERE links.row_id = us.row_id)""", "links AS (SELECT row_id FROM (__LINKS__))"),
+    "us_query": sql(f"""SELECT row_id, source FROM copies WHERE ticker = 'BRAND11' AND filing_date {_RANGE}
+ AND NOT EXISTS (SELECT 1 FROM links WHERE links.row_id = copies.row_id)""", "__COPIES__, links AS (SELECT row_id FROM (__LINKS__))"),
     "us_query_raw": sql(f"SELECT row_id, source FROM us WHERE ticker = 'BRAND11' AND filing_date {_RANGE}"),
-    "congress_query": sql("SELECT row_id, official_name FROM congress WHERE contains(lower(official_name), '000007') AND chamber = 'House'"),
+    "congress_query": sql("SELECT row_id, official_name FROM congress WHERE lower(official_name) = 'customer#000000007' AND chamber = 'House'"),
     "congress_scan_order": sql("SELECT row_id, filing_date, trade_date, official_name FROM congress ORDER BY filing_date DESC NULLS LAST, trade_date DESC NULLS LAST, official_name, row_id LIMIT 100"),
-    "eu_query": sql(f"SELECT row_id, isin FROM eu WHERE country = 'FR' AND trade_date {_RANGE} AND source = 'amf'"),
+    "eu_query": sql(f"SELECT row_id, isin FROM eu WHERE isin = 'FR0000000042' AND country = 'FR' AND trade_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' AND volume > 20"),
     "eu_scan_order": sql("SELECT row_id, trade_date, filing_date, source FROM eu ORDER BY trade_date DESC NULLS LAST, filing_date DESC NULLS LAST, source DESC, row_id LIMIT 100"),
     "eu_multi_source": sql("""SELECT isin, insider_name, trade_type, row_id FROM (SELECT *, row_number() OVER (PARTITION BY isin, insider_name, trade_type
  ORDER BY arrival DESC, row_id DESC) AS k FROM eu) WHERE k = 1"""),
     "eu_verify_isin": sql("SELECT row_id, isin FROM eu WHERE isin = 'DE0000000042'"),
     "overlay_trades": sql(f"""SELECT 'US' AS market, row_id, ticker, trade_date, trade_type FROM us WHERE ticker IN ('BRAND11', 'T7') AND trade_date {_RANGE}
  UNION ALL SELECT 'Congress', row_id, ticker, trade_date, trade_type FROM congress WHERE ticker IN ('BRAND11', 'T7') AND trade_date {_RANGE}"""),
-    "watch_symbols": sql("SELECT key, row_number() OVER (ORDER BY first) AS position FROM (SELECT lower(ticker) AS key, min(row_id) AS first FROM us WHERE batch < 200 GROUP BY 1)"),
-    "house_search": sql(f"SELECT row_id, official_name, filing_date FROM congress WHERE chamber = 'House' AND contains(lower(official_name), '00001') AND (filing_date IS NULL OR filing_date {_RANGE})"),
-    "reject_rows": sql("SELECT CASE WHEN batch % 10 = 0 THEN 'shares is negative or not a number' END AS error, count(*) AS n FROM us GROUP BY 1"),
+    "watch_symbols": sql("SELECT key, row_number() OVER (ORDER BY first) AS position FROM (SELECT lower(ticker) AS key, min(row_id) AS first FROM us GROUP BY 1)"),
+    "house_search": sql(f"SELECT row_id, official_name, filing_date FROM congress WHERE chamber = 'House' AND contains(lower(official_name), '00001') AND NOT is_amendment AND (filing_date IS NULL OR filing_date {_RANGE})"),
+    "reject_rows": sql("SELECT CASE batch % 10 WHEN 0 THEN 'shares is negative or not a number' WHEN 1 THEN 'trade_type is not known' WHEN 2 THEN 'ticker is missing' END AS error, count(*) AS n FROM us GROUP BY 1"),
     "upsert_counts": sql("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN batch % 2 != 0 THEN 'inserted' WHEN batch % 4 = 0 THEN 'updated' ELSE 'skipped' END AS outcome
- FROM us WHERE batch % 3 = 0) GROUP BY outcome"""),
+ FROM us) GROUP BY outcome"""),
 }
