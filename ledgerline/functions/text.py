@@ -176,16 +176,17 @@ def subtract_months(c: Column, months: int | Column) -> Column:
     return F.add_months(c, -months)
 
 
-def name_tokens(c: Column) -> Column:
-    """Caseless words of a name without quoted nicknames, leading titles and trailing suffixes."""
+def name_text(c: Column) -> Column:
+    """Caseless words of a name, single-spaced, without quoted nicknames, leading titles and trailing suffixes."""
     plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"\"[^\"]*\"|“[^”]*”", "")
-    words = F.transform(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*)"), 1), fold)
+    words = F.regexp_extract_all(fold(plain), F.lit(r"([\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*)"), 1)
+    text = F.regexp_replace(F.array_join(words, " "), rf"^(?:(?:{'|'.join(TITLES)})(?: |$))+", "")
+    return F.regexp_replace(text, rf"(?:(?:^| )(?:{'|'.join(SUFFIXES)}))+$", "")
 
-    def drop_while(seq: Column, stop: tuple[str, ...]) -> Column:
-        first = F.array_min(F.filter(F.transform(seq, lambda w, i: F.when(~w.isin(*stop), i)), lambda i: i.isNotNull()))
-        return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(seq, first + 1, F.greatest(F.size(seq), F.lit(1))))
 
-    return F.reverse(drop_while(F.reverse(drop_while(words, TITLES)), SUFFIXES))
+def name_tokens(c: Column) -> Column:
+    """The words of :func:`name_text`."""
+    return F.filter(F.split(name_text(c), " "), lambda w: w != "")
 
 
 def digest(*parts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import fold, name_tokens
+from ledgerline.functions.text import fold, name_text, name_tokens
 
 # Sector by the first keyword in a committee's name, and sectors by priority.
 COMMITTEE_SECTORS = {
@@ -39,13 +39,11 @@ def sectors(committees: Column) -> Column:
 
 def split_name(name: Column) -> Column:
     """struct(first, last) of a display name: "Last, First" when something but a suffix follows the comma, else first and last word."""
-    last, _, first = (F.regexp_extract(name, r"^([^,]*)(,)(.*)$", k) for k in (1, 2, 3))
-    words = name_tokens(name)
-    comma = F.contains(name, F.lit(",")) & (F.size(name_tokens(first)) > 0)
-    two = F.size(words) > 1
+    given, whole = name_text(F.regexp_extract(name, r"^[^,]*,(.*)$", 1)), name_text(name)
+    comma, several = given != "", F.contains(whole, F.lit(" "))
     return F.struct(
-        F.when(comma, F.array_join(name_tokens(first), " ")).when(two, F.get(words, F.lit(0))).otherwise("").alias("first"),
-        F.when(comma, F.array_join(name_tokens(last), " ")).otherwise(F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))).alias("last"),
+        F.when(comma, given).when(several, F.substring_index(whole, " ", 1)).otherwise("").alias("first"),
+        F.when(comma, name_text(F.regexp_extract(name, r"^([^,]*),", 1))).otherwise(F.substring_index(whole, " ", -1)).alias("last"),
     )
 
 
@@ -105,9 +103,9 @@ def _people(names: DataFrame, members: DataFrame) -> DataFrame:
 
 def _tokens_of(name: Column) -> Column:
     """Words of a disclosed name, surname last also when it is written "Last, First"."""
-    split = split_name(name)
-    comma = F.contains(name, F.lit(",")) & (split["first"] != "")
-    return F.when(comma, F.concat(name_tokens(split["first"]), name_tokens(split["last"]))).otherwise(name_tokens(name))
+    given = name_text(F.regexp_extract(name, r"^[^,]*,(.*)$", 1))
+    turned = F.concat_ws(" ", given, name_text(F.regexp_extract(name, r"^([^,]*),", 1)))
+    return F.filter(F.split(F.when(given != "", turned).otherwise(name_text(name)), " "), lambda w: w != "")
 
 
 def flag(rows: DataFrame, members: DataFrame) -> DataFrame:

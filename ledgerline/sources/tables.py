@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -203,6 +204,10 @@ SCREENER_HEADINGS = (
 )
 
 
+def _holds(word: str, heading: Column) -> Column:
+    return F.contains(heading, F.lit(word))
+
+
 def screener_trades(rows: DataFrame) -> DataFrame:
     """Trades from screener rows by words in their headings; a row without ticker, name or a day has ``error``."""
     names = F.transform("header", lambda h: F.lower(F.trim(F.regexp_replace(h, r"\s+", " "))))
@@ -211,7 +216,8 @@ def screener_trades(rows: DataFrame) -> DataFrame:
         found = None
         for word, name in SCREENER_HEADINGS:
             if name == field:
-                at = F.array_position(F.transform(names, lambda h, w=word: F.contains(h, F.lit(w))), True)
+                holds = functools.partial(_holds, word)
+                at = F.array_position(F.transform(names, lambda h: holds(h)), True)  # noqa: B023
                 got = F.when(at > 0, F.get("cells", (at - 1).cast("int")))
                 found = got if found is None else F.coalesce(found, got)
         return found

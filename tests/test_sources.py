@@ -96,8 +96,8 @@ def test_directories_lists_and_legacy(spark, tmp_path):
 def test_html_tables_and_sinks(spark, tmp_path):
     html = "<table class='t x'><tr><th>Ticker<th>Insider Name</th><th>Trade Type</th><th>Trade Date</th><th>Value</th></tr><tr><td><a href='/q'>abc</a></td><td>Doe<br>J</td><td>P - Purchase</td><td>2024-01-02</td><td>$1,000</td></tr><tr><td>short</td></tr></table>"
     pages = spark.createDataFrame([("1", html), ("2", None)], "page_id string, html string")
-    rows = tables.html_table_rows(pages, css="t")
-    assert rows.count() in (0, 1)
+    # A heading cell that is not closed swallows the next: the rows have more cells than headings, and are left out.
+    assert tables.html_table_rows(pages, css="t").count() == 0
     html2 = html.replace("<th>Ticker<th>", "<th>Ticker</th><th>")
     rows = tables.html_table_rows(spark.createDataFrame([("1", html2)], "page_id string, html string"), css="t")
     (trade,) = tables.screener_trades(rows).collect()
@@ -109,7 +109,7 @@ def test_html_tables_and_sinks(spark, tmp_path):
 def test_store_and_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k long, v string").coalesce(1).write.parquet(src)
-    store = tables.SnapshotStore(spark, str(tmp_path / "store"))
+    store = tables.AppendStore(spark, str(tmp_path / "store"))
     run = lambda: ingest(spark, src, "k long, v string", store, "k", str(tmp_path / "cp")).awaitTermination()
     run()
     assert store.read("rows").count() == 2
