@@ -175,7 +175,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = seen.count()
     block_bits = max(0, min(30, (n // BLOCK_ITEMS).bit_length()))
     filters = seen.select("sha").mapInArrow(_build(block_bits), "block long, filter binary")
-    repeated = materialize(filters.groupBy("block").applyInPandas(_merge, "fp long"), "repeated-fingerprints")
+    repeated = materialize(filters.groupBy("block").applyInPandas(_merge, "fp long"), "repeated-fingerprints", n)
     sent = docs.sparkSession.sparkContext.broadcast(
         row_filter(repeated, repeated.count(), lambda size: F.shiftrightunsigned("fp", 64 - size))
     )
@@ -200,7 +200,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .join(same, "sha", "left_semi")
         .select("sha", F.col("first.id").alias("first_id"), F.col("first.rid").alias("first_rid"), "n", F.col("n").alias("group_rows"))
     )
-    groups = materialize(groups, "groups")
+    groups = materialize(groups, "groups", n)
     no_group = [F.lit(None).cast(t).alias(c) for c, t in groups.dtypes if c not in ("sha", "group_rows")]
     alone = flagged.filter("NOT maybe").select("rid", "id", "sha", *no_group)
     met = spread_join(flagged.filter("maybe").select("rid", "id", "sha"), groups, "sha", "group_rows", n, "left")

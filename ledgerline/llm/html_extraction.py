@@ -388,7 +388,7 @@ def _style_nodes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], _NODES)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def style_tree(pages: DataFrame, rows: int | None = None) -> DataFrame:
     """(host, place, pages, importance, chars, links, kind) of every node of every host's tree, from (host, html).
 
     host is a hash of its name; places of different hosts differ.  chars: the
@@ -397,7 +397,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = pages.mapInArrow(batches(_style_nodes), ", ".join(f"{c} long" for c in _NODES))
     sums = [F.sum(c).alias(c) for c in ("n", "chars", "linked")]
     counted = nodes.withColumn("n", F.lit(1)).groupBy("host", "place", "kind", "shape", "content").agg(*sums)
-    counted = materialize(counted, "style-nodes")
+    counted = materialize(counted, "style-nodes", rows)
 
     def total(column: str) -> DataFrame:
         per = counted.groupBy("host", "place", "kind", column).agg(*sums)
@@ -451,7 +451,8 @@ def extract_main_text(
         F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html")
     )
     kind = dict(rows.dtypes)["id"]
-    places = materialize(overruled_places(style_tree(rows.select("host", "html")), min_pages), "style-tree")
+    n_pages = rows.count()
+    places = materialize(overruled_places(style_tree(rows.select("host", "html"), 20 * n_pages), min_pages), "style-tree", n_pages)
     names = ["rid", "id", "url", "host", "text", "n_chars"]
     schema = f"rid long, id {kind}, url string, host string, text string, n_chars long"
 

@@ -510,10 +510,11 @@ def jaccard_components(
     common = found.filter("rid IS NULL").groupBy("shingle").agg(F.sum("texts").alias("texts"))
     listed = common.orderBy(F.desc("texts"), "shingle").limit(COMMON_SHINGLES).select("shingle").toArrow()["shingle"]
     sent = rows.sparkSession.sparkContext.broadcast(listed.to_numpy().view(np.uint64))
-    reps = materialize(seen.filter("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
+    rows_n = seen.count()
+    reps = materialize(seen.filter("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives", rows_n)
     some = seen.agg(F.sum((F.col("n") > 0).cast("long")).alias("texts"), F.sum("n").alias("n")).first()
     met = spread_join(seen.filter("n > 0"), reps, "key", "copies", some["texts"] or 0).select("rid", "id", "n", "rep")
-    named = materialize(met.unionByName(seen.filter("n = 0").select("rid", "id", "n", F.lit(None).cast("long").alias("rep"))), "named")
+    named = materialize(met.unionByName(seen.filter("n = 0").select("rid", "id", "n", F.lit(None).cast("long").alias("rep"))), "named", rows_n)
     shingles = some["n"] or 0
     buckets = max(8, int(shingles * 0.36) // BUCKET_ITEMS + 1)
     blobs = rows.select("rid", "text").mapInArrow(_cell_blobs(width, percent, buckets, sent), "bucket long, blob binary")
@@ -521,31 +522,31 @@ def jaccard_components(
     for end in ("a", "b"):
         name = named.select(F.col("rid").alias(f"{end}_rid"), F.col("rep").alias(f"{end}_rep"))
         stars = stars.join(name, F.col(end) == F.col(f"{end}_rid"))
-    stars = materialize(stars.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).filter("a != b").distinct(), "cells")
+    stars = materialize(stars.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).filter("a != b").distinct(), "cells", 4 * rows_n)
 
-    regions = materialize(connected_components(stars).select(F.col("node"), F.col("root").alias("region")), "regions")
+    regions = materialize(connected_components(stars, rows=4 * rows_n).select(F.col("node"), F.col("root").alias("region")), "regions", rows_n)
     small = regions.count() <= broadcast_nodes
     wanted = rows.select("rid", "text").join(F.broadcast(regions) if small else regions, F.col("rid") == F.col("node"))
     sets = wanted.select("region", "rid", "text").mapInArrow(_sets_of(width), "region long, rid long, set binary")
     sizes = regions.groupBy(F.col("region").alias("size_region")).agg(F.count(F.lit(1)).alias("size"))
-    hot = materialize(sizes.filter(F.col("size") > max_region), "hot-regions")
+    hot = materialize(sizes.filter(F.col("size") > max_region), "hot-regions", rows_n)
     if hot.limit(1).count():
         sets = materialize(sets, "region-sets")
         cold = sets.join(hot, F.col("region") == F.col("size_region"), "left_anti")
         large = materialize(sets.join(hot, F.col("region") == F.col("size_region"), "left_semi"), "hot-sets")
         degrees = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         links = _hot_links(large, hot, degrees, percent, max_region // 2)
-        extra = connected_components(links)
+        extra = connected_components(links, rows=4 * rows_n)
     else:
         cold, extra = sets, None
     roots = (
         cold.repartition("region").sortWithinPartitions("region")
         .mapInArrow(_join_regions(percent), "a long, b long").toDF("node", "root")
     )
-    roots = materialize((roots.union(extra) if extra is not None else roots).filter("node != root"), "components")
+    roots = materialize((roots.union(extra) if extra is not None else roots).filter("node != root"), "components", rows_n)
     # Texts are joined to their components by representative, which few share, or many: then in salted parts.
     of = reps.select("rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "copies")
-    of = materialize(of, "component-of")
+    of = materialize(of, "component-of", rows_n)
     rooted = spread_join(named.filter("rep IS NOT NULL"), of, "rep", "copies", some["texts"] or 0)
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.min("rid").alias("component_rid"), F.count(F.lit(1)).alias("members"))
     alone = named.filter("rep IS NULL").select("rid", "id", "n", F.col("id").alias("component_id"), F.col("rid").alias("component_rid"))

@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, c: Class
         batches(_sample_features(c.sample_words)), f"label_id {kind}, quality int, toxic int, content long, words array<long>, shapes array<double>"
     )
     one = found.groupBy("label_id", "quality", "toxic").agg(F.min(F.struct("content", "words", "shapes")).alias("x"))
-    sample = materialize(one.select("label_id", "quality", "toxic", "x.words", "x.shapes"), "sample")
+    sample = materialize(one.select("label_id", "quality", "toxic", "x.words", "x.shapes"), "sample", c.sample_rows)
     total = sample.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("quality") > 0).cast("int")), F.lit(0)).alias("quality"),
         F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0)).alias("toxic"),
@@ -320,7 +320,7 @@ def classify(
     paths = seen.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("evidence") * 1e6).cast("long")) / 1e6).alias("good")
     )
-    paths = materialize(paths, "paths")
+    paths = materialize(paths, "paths", None if model is None else seen.count())
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = round(total["good"] / total["n"], 9) if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(mean))

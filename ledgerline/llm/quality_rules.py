@@ -229,7 +229,7 @@ def _judged(
     frequent = held.filter(F.col("n") > min_line_docs).join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
     key = F.struct(F.col("host").isNull().alias("u"), F.coalesce("host", F.lit("")).alias("h"), "line")
     frequent = materialize(
-        frequent.filter(100 * F.col("n") > max_line_percent * F.col("host_docs")).select(key.alias("key"), "n"), "frequent-lines"
+        frequent.filter(100 * F.col("n") > max_line_percent * F.col("host_docs")).select(key.alias("key"), "n"), "frequent-lines", seen.count()
     )
     few, total = frequent.count() <= broadcast_lines, frequent.agg(F.sum("n")).first()[0] or 0
     lines = seen.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
@@ -237,7 +237,7 @@ def _judged(
     lines = lines.select("rid", key.alias("key"), "own_words")
     met = lines.join(F.broadcast(frequent.drop("n")), "key") if few else spread_join(lines, frequent, "key", "n", total)
     removed = met.groupBy(F.col("rid").alias("cut_rid")).agg(F.sum("own_words").alias("removed"), F.collect_list("key.line").alias("gone"))
-    removed = materialize(removed, "removed-lines")
+    removed = materialize(removed, "removed-lines", seen.count())
     gone = F.coalesce("removed", F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     judged = (

@@ -38,9 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a table of numbers that are worth a file of their own.
+FILE_ROWS = 200_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
+    ``rows``: how many rows of numbers there are at most; few rows then go to
+    few files, whatever the session's number of partitions.
+
     Cuts the lineage: a lost executor costs a reread of these files, not the
     work before them.  The folders go when the driver's Python ends, or with
     :func:`drop_materialized`.
@@ -48,7 +55,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.parquet(path)
+    narrow = df if rows is None else df.coalesce(max(4, -(-rows // FILE_ROWS)))
+    narrow.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

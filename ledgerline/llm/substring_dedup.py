@@ -197,6 +197,7 @@ def remove_repeated_spans(
     kind = dict(rows.dtypes)["id"]
     schema = f"rid long, id {kind}, n long, hash array<long>, check array<long>, first array<int>, stop array<int>"
     seen = materialize(rows.mapInArrow(batches(_spans(min_sentences, min_words, alone_words)), schema), "spans")
+    n = seen.count()
     spans = seen.select("rid", "id", F.explode(F.arrays_zip("hash", "check", "first", "stop")).alias("x")).select(
         "rid", "id", F.col("x.hash").alias("hash"), F.col("x.check").alias("check"), F.col("x.first").alias("first"), F.col("x.stop").alias("stop")
     )
@@ -205,12 +206,12 @@ def remove_repeated_spans(
     )
     repeated = materialize(
         kinds.filter("n > 1").select(F.struct("hash", "check").alias("kind"), "origin.rid", "origin.first", "n").withColumnsRenamed({"rid": "origin_rid", "first": "origin_first"}),
-        "repeated-spans",
+        "repeated-spans", 4 * n,
     )
     total = repeated.agg(F.sum("n")).first()[0] or 0
     marked = spans.select("rid", "first", "stop", F.struct("hash", "check").alias("kind"))
     later = spread_join(marked, repeated, "kind", "n", total).filter((F.col("rid") != F.col("origin_rid")) | (F.col("first") != F.col("origin_first")))
-    cuts = materialize(later.groupBy(F.col("rid").alias("cut_rid")).agg(F.collect_list(F.struct("first", "stop")).alias("ranges")), "cuts")
+    cuts = materialize(later.groupBy(F.col("rid").alias("cut_rid")).agg(F.collect_list(F.struct("first", "stop")).alias("ranges")), "cuts", n)
     sent = docs.sparkSession.sparkContext.broadcast(row_filter(cuts, cuts.count(), lambda size: filter_place("cut_rid", size)))
     size = sent.value[1]
     result = f"rid long, id {kind}, n_sentences long, n_removed long, text string, kept_sha256 string"

@@ -484,11 +484,12 @@ def remove_repeated_bytes(
         F.min("windows").alias("windows"),
         F.min("place").alias("place"),
     )
-    kinds = materialize(kinds, "segment-kinds")
+    n = found.count()
+    kinds = materialize(kinds, "segment-kinds", n)
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
-    anchors = materialize(anchors.filter("total > 1").withColumn("anchor_rows", F.col("kinds")), "anchors")
+    anchors = materialize(anchors.filter("total > 1").withColumn("anchor_rows", F.col("kinds")), "anchors", n)
     rows_ = anchors.agg(F.sum("kinds")).first()[0] or 0
-    judged = materialize(spread_join(kinds, anchors, "anchor", "anchor_rows", rows_, by="segment"), "repeated-segments")
+    judged = materialize(spread_join(kinds, anchors, "anchor", "anchor_rows", rows_, by="segment"), "repeated-segments", n)
 
     one = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
     settled = judged.filter("kinds = 1").select("anchor", "segment", "texts", "origin", one.alias("every"), F.array().cast("array<struct<a:int,b:int>>").alias("before"))
@@ -515,7 +516,7 @@ def remove_repeated_bytes(
         F.max("texts").alias("texts"), F.first("origin").alias("origin"),
         *[F.flatten(F.collect_list(c)).alias(c) for c in ("every", "before")],
     )
-    verdict = materialize(verdict, "verdicts")
+    verdict = materialize(verdict, "verdicts", n)
     keyed = found.select("rid", "starts", "windows", F.struct("anchor", "segment").alias("kind"))
     whole = spread_join(keyed, verdict, "kind", "texts", verdict.agg(F.sum("texts")).first()[0] or 0)
     no_ranges = F.lit(None).cast("array<struct<a:int,b:int>>")
