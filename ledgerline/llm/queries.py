@@ -35,6 +35,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", "round_trip", "tokens")
 
 
+def sp_joined_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codec with every unit of the documents from the relational lattice."""
+    coded = sentencepiece_codec.encode_joined(_table(spark, sf_dir, "documents"))
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "round_trip", "tokens")
+
+
+def sp_viterbi_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best paths of the units of the benchmark's texts."""
+    return sentencepiece_codec.viterbi_units(_table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -145,6 +156,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
+        "sp_joined_lattice": sp_joined_lattice,
+        "sp_viterbi_lattice": sp_viterbi_lattice,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_source_mixing": op8_source_mixing,

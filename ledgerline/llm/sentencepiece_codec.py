@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The frequent units of the corpus (a space mark with the letters after it) are
-encoded as relations: all their substrings of bounded length are exploded, an
-equi-join with the piece table leaves the lattice's edges, edges are grouped by
-unit, and a higher-order ``aggregate`` folds each lattice into pieces.  The
-resulting lexicon has a fixed number of units and is broadcast; units beyond it
-are folded over the same lattice inside the task that meets them, so every text
-is encoded whole.
+Units of the corpus (a space mark with the letters after it) are encoded as
+relations: all their substrings of bounded length are exploded, an equi-join
+with the piece table leaves the lattice's edges, edges are grouped by unit, and
+a higher-order ``aggregate`` folds each lattice into pieces.
+
+Two ways bring the pieces back to the texts.  :func:`encode_joined` sends every
+different unit through the lattice and joins the result with the units of each
+scan partition, which meet the partition's texts in one task.  :func:`encode`
+does so for the most frequent units only, a lexicon of fixed size that is
+broadcast; other units are folded over the same lattice inside the task that
+meets them.  Both encode every text whole, to the same identifiers.
 
 The fold depends on the model.  A unigram model takes the path of the highest
 score (Viterbi).  A byte-pair model is defined by merges in order of score, and
@@ -19,14 +23,14 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.rows import slices, with_row_id
+from ledgerline.llm.rows import materialize, slices, unpacked, with_row_id
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -38,6 +42,8 @@ LEXICON_COUNT = 8
 #: Longer units stay out of the lexicon.
 LEXICON_CHARS = 24
 CACHE_UNITS = 1 << 19
+#: Longer units are folded in the task that meets them also when all others are joined: their fold takes quadratic time.
+LATTICE_CHARS = 64
 
 
 @dataclass(frozen=True)
@@ -191,6 +197,31 @@ def frequent_units(docs: DataFrame, model: PieceModel, text_col: str, limit: int
     return counts.groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEXICON_COUNT).orderBy(F.desc("n"), "unit").limit(limit)
 
 
+def _part_units(model: PieceModel):
+    """(rid, text) to the different units of each scan partition, but single characters and overlong ones."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        done: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            kept = [u for u in seen if 1 < len(u) <= LATTICE_CHARS]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([done[0]] * len(kept), pa.int64()), pa.array(kept, pa.string())], ["part", "unit"])
+
+        for whole in stream:
+            for batch in slices(whole, 4 << 20):
+                done = done or [batch.column(0)[0].as_py() >> 33]
+                for text in batch.column(1).to_pylist():
+                    seen.update(units_of(text or "", model))
+                if len(seen) > CACHE_UNITS:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    return run
+
+
 def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
     """(unit, edges): substrings of bounded length that are pieces, as (start, stop, id, score)."""
     spark = units.sparkSession
@@ -244,37 +275,125 @@ def build_lexicon(docs: DataFrame, model: PieceModel, text_col: str = "text", li
 def _encode(sent):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lexicon = sent.value
-        cache = dict(lexicon)
+        coder, known = _encode_batches(model), dict(lexicon)
         for whole in stream:
             for batch in slices(whole, 4 << 20):
                 rid, ids, text = batch.columns
-                coded, at, same = [], [0], []
-                for x in text.to_pylist():
-                    parts = []
-                    for u in units_of(x or "", model):
-                        got = cache.get(u)
-                        if got is None:
-                            got = np.array(model.fold(u), "<i4").tobytes()
-                            if len(u) <= LEXICON_CHARS:
-                                if len(cache) > len(lexicon) + CACHE_UNITS:
-                                    cache = dict(lexicon)
-                                cache[u] = got
-                        parts.append(got)
-                    raw = b"".join(parts)
-                    coded.append(raw)
-                    at.append(at[-1] + len(raw) // 4)
-                    same.append(decode_ids(np.frombuffer(raw, "<i4"), model) == (x or "").replace(SPACE_MARK, " "))
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(np.array(at, np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32())
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [rid, ids, tokens, pa.array(np.diff(at), pa.int64()), pa.array(same, pa.bool_())],
-                    ["rid", "id", "tokens", "n_tokens", "round_trip"],
-                )
+                if len(known) > len(lexicon) + CACHE_UNITS:
+                    known = dict(lexicon)
+                yield coder(rid, ids, text.to_pylist(), known)
+
+    return run
+
+
+def unit_ids(units: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, ids): the identifiers of every unit, little-endian int32, from its folded lattice."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            out = []
+            for unit, bounds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids: list[int] = []
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    ids += model.single(unit[a]) if b == a + 1 else [model.pieces[unit[a:b]][0]]
+                out.append(np.array(ids, "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["unit", "ids"])
+
+    return fold_lattice(lattice(units, model), model).mapInArrow(run, "unit string, ids binary")
+
+
+def _encode_parts(model: PieceModel):
+    """Rows sorted by (part, rid), a part's units (without rid) before its texts, to coded texts."""
+    coder = _encode_batches(model)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in stream:
+            part, rid = batch.column("part").to_numpy(), batch.column("rid")
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if part[a] != now:
+                    now, known = part[a], {}
+                split = a + rid.slice(a, b - a).null_count
+                known.update(zip(batch.column("unit").slice(a, split - a).to_pylist(), batch.column("ids").slice(a, split - a).to_pylist(), strict=True))
+                if split < b:
+                    texts = [x.decode("utf-8", "surrogatepass") for x in unpacked(batch.column("packed").slice(split, b - split))]
+                    yield coder(rid.slice(split, b - split), batch.column("id").slice(split, b - split), texts, known)
 
     return run
 
 
+def _encode_batches(model: PieceModel):
+    """Coded texts of a batch; ``known`` holds identifiers of units, and takes those of units it lacks up to LEXICON_CHARS."""
+
+    def code(rid, ids, texts: list[str | None], known: dict[str, bytes]) -> pa.RecordBatch:
+        coded, at, same = [], [0], []
+        for x in texts:
+            parts = []
+            for u in units_of(x or "", model):
+                got = known.get(u)
+                if got is None:
+                    got = np.array(model.fold(u), "<i4").tobytes()
+                    if len(u) <= LEXICON_CHARS:
+                        known[u] = got
+                parts.append(got)
+            raw = b"".join(parts)
+            coded.append(raw)
+            at.append(at[-1] + len(raw) // 4)
+            same.append(decode_ids(np.frombuffer(raw, "<i4"), model) == (x or "").replace(SPACE_MARK, " "))
+        tokens = pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [rid, ids, tokens, pa.array(np.diff(at), pa.int64()), pa.array(same, pa.bool_())], ["rid", "id", "tokens", "n_tokens", "round_trip"]
+        )
+
+    return code
+
+
+def encode_joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
+    """As :func:`encode`, with every different unit of up to ``LATTICE_CHARS`` characters from the relational lattice.
+
+    The units of a scan partition and its texts meet in one task, which holds
+    the units once; so a partition must fit an executor, as a scan's does.
+    """
+    model = PieceModel.load(model_path)
+    rows = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = dict(rows.dtypes)["id"]
+    found = materialize(rows.select("rid", "text").mapInArrow(_part_units(model), "part long, unit string"), "units")
+    ids = materialize(unit_ids(found.select("unit").distinct(), model), "unit-ids").withColumnRenamed("unit", "ids_unit")
+    known = found.distinct().join(ids, F.col("unit") == F.col("ids_unit")).select("part", F.lit(None).cast("long").alias("rid"), F.lit(None).cast(kind).alias("id"), "unit", "ids", F.lit(None).cast("binary").alias("packed"))
+    texts = rows.mapInArrow(_packed_with_id, f"part long, rid long, id {kind}, packed binary")
+    texts = texts.select("part", "rid", "id", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("binary").alias("ids"), "packed")
+    both = known.unionByName(texts).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("rid"))
+    coded = both.mapInArrow(_encode_parts(model), f"rid long, id {kind}, tokens array<int>, n_tokens long, round_trip boolean")
+    return coded.withColumnRenamed("rid", "_rid")
+
+
+def _packed_with_id(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=3)
+    for batch in stream:
+        rid, ids, text = batch.columns
+        packed = [coder.compress((x or "").encode()) for x in text.to_pylist()]
+        part = pa.array(rid.to_numpy() >> 33, pa.int64())
+        yield pa.RecordBatch.from_arrays([part, rid, ids, pa.array(packed, pa.binary())], ["part", "rid", "id", "packed"])
+
+
+def viterbi_units(texts: DataFrame, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
+    """(unit, pieces) of every different unit of up to ``LATTICE_CHARS`` characters: the path of the highest sum of scores.
+
+    The pieces' scores of any model file are taken as those of a unigram model.
+    Nulls, empty texts and repeated rows add nothing; single characters are
+    their own path.  An empty table gives an empty result.
+    """
+    model = replace(PieceModel.load(model_path), kind="unigram")
+    rows = with_row_id(texts).select(F.col("_rid").alias("rid"), F.col(text_col).cast("string").alias("text"))
+    units = rows.mapInArrow(_part_units(model), "part long, unit string").select("unit").distinct()
+    folded = fold_lattice(lattice(units, model), model)
+    pieces = F.expr("transform(sequence(1, size(bounds) - 1), i -> substring(unit, bounds[i - 1] + 1, bounds[i] - bounds[i - 1]))")
+    return folded.select("unit", pieces.alias("pieces"))
+
+
 def decode_ids(ids: np.ndarray, model: PieceModel) -> str:
     """Text of a sequence of ids; bytes that are no UTF-8 become the replacement character."""
     text = b"".join(map(model.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -288,8 +407,9 @@ def encode(
 
     Returns per row: _rid, id, tokens (array<int>), n_tokens, round_trip
     (decoding gives the text back; a space mark in a text reads as a space).
-    Null and empty texts have no tokens.  Repeated rows are encoded each; an
-    empty table gives an empty result.
+    Null and empty texts have no tokens.  Repeated rows are encoded each; a text
+    of any length, also of one word, is encoded whole; an empty table gives an
+    empty result.
     """
     model = PieceModel.load(model_path)
     lexicon = build_lexicon(docs, model, text_col, lexicon_units)
