@@ -44,6 +44,8 @@ LEXICON_CHARS = 24
 CACHE_UNITS = 1 << 19
 #: Longer units are folded in the task that meets them also when all others are joined: their fold takes quadratic time.
 LATTICE_CHARS = 64
+#: Units whose lattices are grouped together, about.
+PART_UNITS = 40_000
 
 
 @dataclass(frozen=True)
@@ -359,8 +361,10 @@ def encode_joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
     found = materialize(rows.select("rid", "text").mapInArrow(_part_units(model), "part long, unit string"), "units")
-    ids = materialize(unit_ids(found.select("unit").distinct(), model), "unit-ids").withColumnRenamed("unit", "ids_unit")
-    known = found.distinct().join(ids, F.col("unit") == F.col("ids_unit")).select("part", F.lit(None).cast("long").alias("rid"), F.lit(None).cast(kind).alias("id"), "unit", "ids", F.lit(None).cast("binary").alias("packed"))
+    # So many parts that a part's edges are grouped in memory.
+    parts = max(8, min(found.count() // PART_UNITS + 1, 1 << 16))
+    ids = materialize(unit_ids(found.select("unit").repartition(parts, "unit").distinct(), model), "unit-ids").withColumnRenamed("unit", "ids_unit")
+    known = found.join(ids, F.col("unit") == F.col("ids_unit")).select("part", F.lit(None).cast("long").alias("rid"), F.lit(None).cast(kind).alias("id"), "unit", "ids", F.lit(None).cast("binary").alias("packed"))
     texts = rows.mapInArrow(_packed_with_id, f"part long, rid long, id {kind}, packed binary")
     texts = texts.select("part", "rid", "id", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("binary").alias("ids"), "packed")
     both = known.unionByName(texts).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("rid"))
