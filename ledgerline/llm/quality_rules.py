@@ -155,7 +155,7 @@ def quality_rules(
     judged, rows, cuts = _judged(
         docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_line_percent, min_line_docs, max_removed_percent, broadcast_lines
     )
-    digests = _cleaned(rows, cuts).select(F.col("rid").alias("clean_rid"), "kept_sha256")
+    digests = _cleaned(rows, cuts, False).select(F.col("rid").alias("clean_rid"), "kept_sha256")
     return judged.join(digests, F.col("_rid") == F.col("clean_rid")).drop("clean_rid")
 
 
@@ -165,12 +165,12 @@ def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
         "min_words": 50, "max_repeat_percent": 50, "max_line_percent": 1, "min_line_docs": 20, "max_removed_percent": 50, "broadcast_lines": BROADCAST_LINES,
     }
     _, rows, cuts = _judged(docs, id_col, text_col, host_col, **(options | limits))
-    texts = _cleaned(rows, cuts).select(F.col("rid").alias("clean_rid"), F.col("text").alias("clean"))
+    texts = _cleaned(rows, cuts, True).select(F.col("rid").alias("clean_rid"), F.col("text").alias("clean"))
     return rows.select("rid", "id").join(texts, F.col("rid") == F.col("clean_rid")).select(F.col("rid").alias("_rid"), "id", F.col("clean").alias("text"))
 
 
-def _cleaned(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(rid, text, kept_sha256) of every row; only texts with lines to remove are exchanged."""
+def _cleaned(rows: DataFrame, cuts: DataFrame, with_text: bool) -> DataFrame:
+    """(rid, text, kept_sha256) of every row, text null unless wanted; only texts with lines to remove are exchanged."""
     sent = rows.sparkSession.sparkContext.broadcast(row_filter(cuts, cuts.count(), lambda size: filter_place("cut_rid", size)))
     schema, names = "rid long, text string, kept_sha256 string", ["rid", "text", "kept_sha256"]
     placed = rows.select("rid", "text", filter_place("rid", sent.value[1]).alias("at"))
@@ -181,7 +181,7 @@ def _cleaned(rows: DataFrame, cuts: DataFrame) -> DataFrame:
         rid, text = rid.filter(keep), text.filter(keep).fill_null("")
         data, bounds = joined(text)
         digest = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([rid, text, pa.array(digest, pa.string())], names)
+        return pa.RecordBatch.from_arrays([rid, text if with_text else pa.nulls(len(rid), pa.string()), pa.array(digest, pa.string())], names)
 
     def chosen(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -201,7 +201,8 @@ def _cleaned(rows: DataFrame, cuts: DataFrame) -> DataFrame:
                     raw = b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in drop)
                 out.append(raw)
                 digest.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string()), pa.array(digest, pa.string())], names)
+            shown = pa.array(out, pa.binary()).cast(pa.string()) if with_text else pa.nulls(len(out), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), shown, pa.array(digest, pa.string())], names)
 
     untouched = placed.mapInArrow(batches(whole, sized=1), schema)
     touched = packed_texts(placed.mapInArrow(chosen, "rid long, text string, at long"))

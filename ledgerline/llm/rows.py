@@ -81,9 +81,22 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     must not depend on them, but for ties among equal rows.  For frames that
     are not plain scans, materialize the result before it is used twice.
     """
+    bound_batches(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Bytes of a batch between Spark and Python at most, unless one row has more.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send smaller Arrow batches to Python: each is there several times over, in every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "")
+    if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: A key with more than one part in so many of all rows is dealt to several tasks.
 HOT_PARTS = 1024
 
@@ -138,7 +151,7 @@ def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def batches(
-    fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], max_bytes: int = 2 << 20, sized: int = -1
+    fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], max_bytes: int = 1 << 20, sized: int = -1
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Make a ``mapInArrow`` function of one that takes bounded slices.
 
