@@ -92,7 +92,7 @@ BATCH_BYTES = 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Let the session send smaller Arrow batches to Python: each is there several times over, in every task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "")
+    now = spark.conf.get(name)
     if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
