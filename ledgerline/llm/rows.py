@@ -330,6 +330,54 @@ def runs_of_key(stream: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tupl
         yield now, pa.Table.from_batches(held)
 
 
+#: Hashes in a bucket of :func:`repeated_filter`, about, and in a blob.
+BUCKET_ITEMS = 2_000_000
+
+
+def bucket_blobs(hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, blob): the different hashes of each bucket, and whether each stood twice already."""
+    value, count = np.unique(hashes, return_counts=True)
+    bucket = ((value >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    value, count, bucket = value[order], count[order], bucket[order]
+    cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    pairs = list(zip(cuts, cuts[1:], strict=False))
+    blobs = [value[a:b].tobytes() + (count[a:b] > 1).tobytes() for a, b in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in pairs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def repeated_filter(blobs: DataFrame, size: int) -> np.ndarray:
+    """Bits of a filter of 2**size that passes every hash that stands twice in blobs (bucket, blob), by its highest bits."""
+
+    def repeated(_, pdf):
+        import pandas as pd
+
+        values, twice = [], []
+        for blob in pdf["blob"]:
+            n = len(blob) // 9
+            values.append(np.frombuffer(blob, np.uint64, n))
+            twice.append(np.frombuffer(blob, bool, n, 8 * n))
+        value, twice = np.concatenate(values), np.concatenate(twice)
+        order = np.argsort(value, kind="stable")
+        value, twice = value[order], twice[order]
+        head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        often = (np.diff(np.r_[head, len(value)]) > 1) | np.logical_or.reduceat(twice, head)
+        word, at = np.divmod(np.unique(top_bits(value[head[often]], size)), 64)
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
+        bits = np.bitwise_or.reduceat(np.uint64(1) << at.astype(np.uint64), starts) if len(word) else at.astype(np.uint64)
+        return pd.DataFrame({"word": word[starts], "bits": bits.view(np.int64)})
+
+    words = blobs.groupBy("bucket").applyInPandas(repeated, "word long, bits long")
+    table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**size / 64 rows
+    out = np.zeros((1 << size) // 64, np.int64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return out
+
+
+def top_bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - size)).astype(np.int64)
+
+
 def packed_texts(rows: DataFrame) -> DataFrame:
     """(rid, text) to (rid, packed): Zstandard frames of the UTF-8 bytes, a third of what a shuffle would hold."""
 

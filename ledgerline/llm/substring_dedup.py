@@ -23,21 +23,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.rows import (
+    BUCKET_ITEMS,
+    ROW_FILTER_BITS,
     ascii_lower,
     batches,
+    bucket_blobs,
     filter_place,
     joined,
     lists,
     materialize,
     mix64,
+    offsets,
     packed_texts,
     passes,
     prefix_hash,
     range_hash,
+    repeated_filter,
     row_filter,
     sequence_hash,
     spread_join,
     text_of,
+    top_bits,
     unpacked,
     with_row_id,
     word_spans,
@@ -111,6 +117,36 @@ def _spans(min_sentences: int, min_words: int, alone_words: int):
     return run
 
 
+def _hash_blobs(buckets: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in stream:
+            held.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            n += len(held[-1])
+            if n > BUCKET_ITEMS:
+                yield bucket_blobs(np.concatenate(held), buckets)
+                held, n = [], 0
+        if n:
+            yield bucket_blobs(np.concatenate(held), buckets)
+
+    return run
+
+
+def _likely_spans(sent):
+    """(rid, id, hash, check, first, stop) lists to one row per span that the filter of repeated hashes passes."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, size = sent.value
+        for batch in stream:
+            lists_ = [c.flatten().to_numpy() for c in batch.columns[2:]]
+            hit = np.flatnonzero(passes(bits, top_bits(lists_[0].view(np.uint64), size)))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets(batch.column(2))))[hit]
+            rid, ids = (c.take(pa.array(owner)) for c in batch.columns[:2])
+            yield pa.RecordBatch.from_arrays([rid, ids, *(pa.array(x[hit]) for x in lists_)], ["rid", "id", "hash", "check", "first", "stop"])
+
+    return run
+
+
 _KEPT = ["rid", "id", "n_sentences", "n_removed", "text", "kept_sha256"]
 
 
@@ -197,9 +233,14 @@ def remove_repeated_spans(
     kind = dict(rows.dtypes)["id"]
     schema = f"rid long, id {kind}, n long, hash array<long>, check array<long>, first array<int>, stop array<int>"
     seen = materialize(rows.mapInArrow(batches(_spans(min_sentences, min_words, alone_words)), schema), "spans")
-    n = seen.count()
-    spans = seen.select("rid", "id", F.explode(F.arrays_zip("hash", "check", "first", "stop")).alias("x")).select(
-        "rid", "id", F.col("x.hash").alias("hash"), F.col("x.check").alias("check"), F.col("x.first").alias("first"), F.col("x.stop").alias("stop")
+    # Most spans stand once: a count of hashes in buckets finds those that may not, and only they are exchanged as rows.
+    n, total = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("hash")), F.lit(0))).first()
+    size = min(ROW_FILTER_BITS, max(20, (4 * total).bit_length()))
+    buckets = max(8, total // BUCKET_ITEMS + 1)
+    often = repeated_filter(seen.select("hash").mapInArrow(_hash_blobs(buckets), "bucket long, blob binary"), size)
+    known = docs.sparkSession.sparkContext.broadcast((often, size))
+    spans = seen.select("rid", "id", "hash", "check", "first", "stop").mapInArrow(
+        _likely_spans(known), f"rid long, id {kind}, hash long, check long, first int, stop int"
     )
     kinds = spans.groupBy("hash", "check").agg(
         F.min(F.struct(F.col("id").isNull().alias("u"), "id", "rid", "first")).alias("origin"), F.count(F.lit(1)).alias("n")

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.rows import (
+    BUCKET_ITEMS,
+    bucket_blobs,
     joined,
     lists,
     materialize,
@@ -39,16 +41,16 @@ from ledgerline.llm.rows import (
     prefix_hash,
     range_hash,
     raw_texts,
+    repeated_filter,
     runs_of_key,
     slices,
     spread_join,
+    top_bits,
     unpacked,
     with_row_id,
 )
 
 GRAM = 64
-#: Anchors in a bucket of the first count, about.
-BUCKET_ITEMS = 2_000_000
 #: Bits of the filter that holds the anchors that stand twice, at least and at most (32 MB): it may be broadcast at any
 #: size.  Beyond about 10**8 anchors it passes more that stand once, which costs rows of segments, never results.
 FILTER_BITS = 20, 28
@@ -111,18 +113,6 @@ def _facts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _anchor_blobs(length: int, gram: int, buckets: int):
     """Per bucket and partition: the different anchors, and whether each stood twice already."""
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, count = np.unique(np.concatenate(held), return_counts=True)
-        bucket = ((anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        anchor, count, bucket = anchor[order], count[order], bucket[order]
-        cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-        pairs = list(zip(cuts, cuts[1:], strict=False))
-        blobs = [anchor[a:b].tobytes() + (count[a:b] > 1).tobytes() for a, b in pairs]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int(bucket[a]) for a, _ in pairs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"]
-        )
-
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for whole in stream:
@@ -131,11 +121,11 @@ def _anchor_blobs(length: int, gram: int, buckets: int):
                     anchor = segments(data, bounds, length, gram)[4]
                     held.append(anchor)
                     n += len(anchor)
-                if n > 2_000_000:
-                    yield flush(held)
+                if n > BUCKET_ITEMS:
+                    yield bucket_blobs(np.concatenate(held), buckets)
                     held, n = [], 0
         if n:
-            yield flush(held)
+            yield bucket_blobs(np.concatenate(held), buckets)
 
     return run
 
@@ -168,34 +158,6 @@ def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np
         yield piece, np.array([0, len(piece)]), at
 
 
-def _repeated_anchors(size: int):
-    return lambda _, pdf: _repeated(pdf, size)
-
-
-def _repeated(pdf, size: int):
-    import pandas as pd
-
-    anchors, twice = [], []
-    for blob in pdf["blob"]:
-        n = len(blob) // 9
-        anchors.append(np.frombuffer(blob, np.uint64, n))
-        twice.append(np.frombuffer(blob, bool, n, 8 * n))
-    anchor, twice = np.concatenate(anchors), np.concatenate(twice)
-    order = np.argsort(anchor, kind="stable")
-    anchor, twice = anchor[order], twice[order]
-    head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    often = (np.diff(np.r_[head, len(anchor)]) > 1) | np.logical_or.reduceat(twice, head)
-    bits = np.unique(_bit(anchor[head[often]], size))
-    word, at = np.divmod(bits, 64)
-    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
-    value = np.bitwise_or.reduceat(np.uint64(1) << at.astype(np.uint64), starts) if len(word) else at.astype(np.uint64)
-    return pd.DataFrame({"word": word[starts], "bits": value.view(np.int64)})
-
-
-def _bit(anchor: np.ndarray, size: int) -> np.ndarray:
-    return (anchor >> np.uint64(64 - size)).astype(np.int64)
-
-
 def _segment_rows(length: int, gram: int, sent, size: int):
     """(rid, text) to the segments whose anchor passes the filter."""
 
@@ -206,7 +168,7 @@ def _segment_rows(length: int, gram: int, sent, size: int):
                 rid = batch.column(0).to_numpy()
                 for data, bounds, shift in _pieces(batch, length):
                     text, first, count, where, anchor, segment = segments(data, bounds, length, gram)
-                    bit = _bit(anchor, size)
+                    bit = top_bits(anchor, size)
                     hit = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                     # Occurrences of one segment in one text are one row.
                     hit = hit[np.lexsort((first[hit], segment[hit], anchor[hit], text[hit]))]
@@ -469,10 +431,7 @@ def remove_repeated_bytes(
     low, high = FILTER_BITS
     size = min(high, max(low, int(total * 8 / (length - gram + 2)).bit_length()))
     blobs = texts.mapInArrow(_anchor_blobs(length, gram, buckets), "bucket long, blob binary")
-    words = blobs.groupBy("bucket").applyInPandas(_repeated_anchors(size), "word long, bits long")
-    table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**size / 64 rows
-    bits = np.zeros((1 << size) // 64, np.int64)
-    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
+    bits = repeated_filter(blobs, size)
     sent = spark.sparkContext.broadcast(bits.tobytes())
 
     schema = "rid long, anchor long, segment long, windows int, place int, starts array<long>"
