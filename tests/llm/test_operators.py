@@ -132,8 +132,8 @@ def test_suffix_arrays_against_brute_force(docs, texts):
             h = hash(raw[k : k + length])
             seen[h] += 1
             first.setdefault(h, (i, k))
-    for keep in (False, True):
-        got = {r["id"]: r for r in suffix_dedup.remove_repeated_bytes(docs, keep_first=keep).collect()}
+    for keep, split in ((False, 512), (True, 512), (False, 1), (True, 1)):
+        got = {r["id"]: r for r in suffix_dedup.remove_repeated_bytes(docs, keep_first=keep, split_kinds=split).collect()}
         for i, t in texts.items():
             raw = t.encode()
             gone = np.zeros(len(raw), bool)
@@ -146,15 +146,21 @@ def test_suffix_arrays_against_brute_force(docs, texts):
             assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (int(gone.sum()), spans, hashlib.sha256(rest).hexdigest())
 
 
-def test_ranks_and_longest_previous_factors():
-    data = np.frombuffer(b"abracadabra-abracadabra-abra", np.uint8)
-    at = np.arange(len(data) - 10)
-    rank = suffix_dedup.truncated_ranks(data, 10, at)
-    strings = [data[i : i + 10].tobytes() for i in at]
-    assert (np.argsort(rank, kind="stable") == sorted(range(len(at)), key=lambda i: (strings[i], i))).all()
-    before, after = suffix_dedup.repeated_factors(rank, np.zeros(len(at), int), at)
-    assert before.tolist() == [strings[i] in strings[:i] for i in at]
-    assert after.tolist() == [strings[i] in strings[i + 1 :] for i in at]
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([97, 98]), min_size=12, max_size=120), st.integers(8, 12), st.randoms())
+def test_longest_previous_and_next_factors(raw, depth, rnd):
+    data = np.array(raw, np.uint8)
+    at = np.array(rnd.sample(range(len(data) - depth + 1), rnd.randint(1, len(data) - depth + 1)))
+    rid = np.array([rnd.randint(0, 2) for _ in at])
+    before, after = suffix_dedup.factor_arrays(data, at, rid, np.arange(len(at)), depth)
+    strings, place = [data[i : i + depth].tobytes() for i in at], list(zip(rid, range(len(at)), strict=True))
+
+    def common(i, j):
+        return next((k for k in range(depth) if strings[i][k] != strings[j][k]), depth)
+
+    every = range(len(at))
+    assert before.tolist() == [max((common(i, j) for j in every if place[j] < place[i]), default=0) for i in every]
+    assert after.tolist() == [max((common(i, j) for j in every if place[j] > place[i]), default=0) for i in every]
 
 
 def sets_of(texts, width):
