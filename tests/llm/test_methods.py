@@ -71,7 +71,7 @@ def test_the_style_tree_decides(spark, tmp_path):
     prose = "words and more words that nobody else has written down before " * 5
     rows = []
     for i in range(8):
-        page = f"<body><article class='hint'>Same on every page, and an article</article><article><p>{prose} {i}</p></article><div class='x9'>All rights reserved</div><div class='share'>{prose[:100]} {i} {'z' * i}</div></body>"
+        page = f"<body><article class='hint'>{'Same on every page, and an article. ' * 4}</article><article><p>{prose} {i}</p></article><div class='x9'>All rights reserved</div><div class='share'>{prose[:100]} {i} {'z' * i}</div></body>"
         rows.append((i, f"http://HOST/{i}?q", page))
     rows += [(20, "http://few/1", rows[0][2]), (21, None, rows[0][2]), (3, rows[3][1], rows[3][2])]
     rows += [(30 + i, f"http://copies/{i}", f"<article><p>{prose}</p></article><div>n {i}</div>") for i in range(6)]
