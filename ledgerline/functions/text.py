@@ -39,8 +39,12 @@ POSITION_KEYWORDS = {
 
 
 def fold(c: Column) -> Column:
-    """Caseless form of a text; null is empty. Upper and lower case in turn, so sharp s is ss; both small sigmas are one."""
-    return F.translate(F.lower(F.upper(F.coalesce(c, F.lit("")))), "ς", "σ")
+    """Caseless form of a text; null is empty. Upper case and back, so sharp s of either case is ss; both small sigmas are one.
+
+    The replacement between also keeps the optimizer from taking lower(upper(x)) for lower(x).
+    """
+    upper = F.replace(F.upper(F.coalesce(c, F.lit(""))), F.lit("ẞ"), F.lit("SS"))
+    return F.translate(F.lower(upper), "ς", "σ")
 
 
 def collapse_ws(c: Column) -> Column:

@@ -163,6 +163,8 @@ def test_texts(spark):
     assert [value(spark, tx.parse_number(F.lit(x))) for x in ("1(2)3", "(5)", "5d", "$1,2.5")] == [0.0, -5.0, 0.0, 12.5]
     assert [value(spark, tx.parse_date(F.lit(x))) for x in ("12-31-68", "2024-03-05Tgarbage", "2024-03-05T10:11:12Z")] == [date(2068, 12, 31), None, date(2024, 3, 5)]
     assert value(spark, tx.fold(F.lit("STRAßE ΣΊΣΥΦΟΣ"))) == value(spark, tx.fold(F.lit("strasse σίσυφος")))
+    words = spark.createDataFrame([("STRAßE",), ("straẞe",), ("ΣΊΣΥΦΟΣ",)], "p string").select(tx.fold(F.col("p")).alias("f"))
+    assert [r["f"] for r in words.collect()] == ["strasse", "strasse", "σίσυφοσ"]
     assert value(spark, tx.format_reported(F.lit(2.5), F.lit(False))) == "2" and value(spark, tx.format_reported(F.lit(3.5), F.lit(False))) == "4"
     assert value(spark, loc.money_total(F.lit(1.0), F.lit(2.675))) == 2.68
     assert value(spark, loc.query_address("http://x/q", {"a": F.lit("b c&d"), "e": F.lit(None).cast("string")})) == "http://x/q?a=b+c%26d"
