@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("SentencePiece encoding and decoding", tokens),
 ]
 
-#: The classifier and the segmentation are not SQL; the stages are tested against brute force.
+#: The classifier and the segmentation are not SQL; tests/llm/test_methods.py tests every stage, and run() against them.
 ORACLE_SQL: str | None = None
 
 
