@@ -15,48 +15,21 @@ def _fields(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in text.split(","))])
 
 
-US_SCHEMA = _fields(
-    """row_id bigint, ticker string, company string, insider_name string, insider_title string, trade_type string,
-    trade_date date, filing_date date, shares double, price double, value double, shares_owned_after double,
-    source string, provenance array<string>, url string, is_congress boolean, congress_member string,
-    accession_number string, sec_row_id string, form_type string, cik_issuer string, cik_insider string,
-    period_of_report date, original_submission_date date, is_amendment boolean, is_derivative boolean,
-    document_sha256 string, transaction_code string, acquired_disposed string, direct_or_indirect string,
-    sec_detail_json string, shares_missing boolean, price_missing boolean, value_missing boolean,
-    shares_owned_after_missing boolean"""
-)
-CONGRESS_SCHEMA = _fields(
-    """row_id bigint, official_name string, chamber string, party string, filing_date date, doc_id string, url string,
-    trade_date date, asset_description string, ticker string, trade_type string, owner string, amount_range string,
-    amount_low double, amount_high double, comment string, source string, source_row_id string, report_title string,
-    period_of_report date, is_amendment boolean, filing_complete boolean"""
-)
-EU_SCHEMA = _fields(
-    """row_id bigint, isin string, issuer_name string, country string, regulatory_body string, insider_name string,
-    position string, trade_date date, filing_date date, trade_type string, instrument_type string, volume double,
-    price double, currency string, total_value double, source string, provenance array<string>, url string"""
-)
 FEED_SCHEMA = _fields(
     """market string, market_rank int, row_id bigint, transaction_date date, filing_date date, trade_type string,
     issuer string, identifier string, person string, role string, quantity double, price double, value double,
     display_value string, currency string, source string, url string, sort_value double"""
 )
-PRICE_SCHEMA = _fields(
-    """symbol string, price_date date, open double, high double, low double, close double, adjusted_close double,
-    volume bigint, source string"""
-)
 
-# Market names in tie order, trade types, sources, form kinds.
+# Market names in tie order, trade types, form kinds.
 MARKETS = ("US", "Congress", "Europe")
 US_TYPES = ("Buy", "Sell", "Exercise", "Other")
 CONGRESS_TYPES = ("Purchase", "Sale", "Exchange", "Other")
 EU_TYPES = ("Buy", "Sell", "Other")
-US_SOURCES = ("secform4", "openinsider", "sec_edgar")
 OWNERSHIP_FORMS = ("3", "3/A", "4", "4/A", "5", "5/A")
 TRANSACTION_FORMS = ("4", "4/A", "5", "5/A")
 CHAMBERS = ("", "House", "Senate")
 EU_COUNTRIES = ("", "UK", "DE", "FR", "NL")
-LEDGER_STATES = ("success", "retryable_failure", "permanent_failure", "unsupported")
 BUY_WORDS = ("buy", "purchase", "exercise")
 SELL_WORDS = ("sell", "sale")
 # Transaction codes of ownership filings.
