@@ -18,8 +18,11 @@ and y link only if |d(x, p) - d(y, p)| <= r for every pivot p.
 3. Inside a region, a pivot's distances to all members are exact.  Members
    within r are linked to it.  The rest, and the boundary documents its window
    lets in, join again with the next pivot, until no candidates are left.
-4. A region above ``max_region`` is cut into tiles: its pivot's inner documents
-   are linked to it, and outer documents meet all members tile by tile.
+4. A region above ``max_region`` is first cut by the rarest shingles of its
+   members (see :func:`rare_signatures`): two linked sets share one of them, so
+   members that share none, as those that only have common lines in common, part.
+   What stays above the limit is cut into tiles: its pivot's inner documents are
+   linked to it, and outer documents meet all members tile by tile.
 """
 
 from __future__ import annotations
@@ -174,6 +177,35 @@ def part_signatures(h: np.ndarray, at: np.ndarray, classes: SizeClasses, common:
     return np.concatenate(out), np.concatenate(by)
 
 
+def rare_signatures(
+    h: np.ndarray, at: np.ndarray, region: np.ndarray, classes: SizeClasses, listed: np.ndarray, texts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) of the rarest shingles of each set, in its own size class and the next.
+
+    Linked sets of at most n shingles share at least percent * n / 100, so in any
+    order of the shingles, the same for all sets, they share one of the first
+    n - percent * n / 100 + 1 (rounded down).  ``listed`` (sorted) and ``texts``
+    tell how many sets have a shingle; what is not listed comes first.  The
+    list changes the work, not the result.
+    """
+    n = np.diff(at)
+    owner = np.repeat(np.arange(len(n)), n)
+    seen = np.zeros(len(h), np.int64)
+    if len(listed):
+        where = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+        seen = np.where(listed[where] == h, texts[where], 0)
+    order = np.lexsort((h, seen, owner))
+    place = np.arange(len(h)) - at[:-1][owner]
+    keep = place < (n - (classes.percent * n + 99) // 100 + 1)[owner]
+    h, owner = h[order[keep]], owner[keep]
+    own = classes.of(np.maximum(n, 1))
+    out = []
+    for step in (0, 1):
+        name = mix64(mix64(region.astype(np.uint64)) ^ (own + step).astype(np.uint64))
+        out.append(mix64(mix64(h) ^ name[owner]))
+    return np.concatenate(out), np.r_[owner, owner]
+
+
 def _items(at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Positions of the items of the chosen sets, set after set."""
     n = at[chosen + 1] - at[chosen]
@@ -181,6 +213,14 @@ def _items(at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return np.repeat(at[chosen] - first[:-1], n) + np.arange(first[-1])
 
 
+def _most_common(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, number of sets) of a stretch of sets; one stretch cannot fill the list alone, so its most common ones are enough."""
+    shingle, count = np.unique(np.concatenate(held), return_counts=True)
+    pick = np.flatnonzero(count >= least)
+    pick = pick[np.argsort(-count[pick], kind="stable")[:COMMON_SHINGLES]]
+    return shingle[pick], count[pick]
+
+
 def _sets(width: int):
     """One row per text, and rows without rid for shingles that many texts of a stretch have."""
 
@@ -188,12 +228,9 @@ def _sets(width: int):
         names = ["rid", "id", "n", "key", "shingle", "texts"]
 
         def often(held: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
-            shingle, count = np.unique(np.concatenate(held), return_counts=True)
-            pick = np.flatnonzero(count >= COMMON_DOCS)
-            # A stretch cannot fill the list alone, so the most common ones of each are enough.
-            pick = pick[np.argsort(-count[pick], kind="stable")[:COMMON_SHINGLES]]
-            empty = [pa.nulls(len(pick), t) for t in (pa.int64(), kind, pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(shingle[pick].view(np.int64)), pa.array(count[pick])], names)
+            shingle, count = _most_common(held, COMMON_DOCS)
+            empty = [pa.nulls(len(shingle), t) for t in (pa.int64(), kind, pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(shingle.view(np.int64)), pa.array(count)], names)
 
         held, size, kind = [], 0, pa.int64()
         for whole in stream:
@@ -236,21 +273,26 @@ def _cell_blobs(width: int, percent: int, buckets: int, sent):
                 if not len(h):
                     continue
                 sig, text = part_signatures(h, np.r_[0, np.cumsum(np.diff(at)[fresh])], classes, common)
-                bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                sig, text, bucket = sig[order], text[order], bucket[order]
-                cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, int)
-                names, blobs = [], []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    texts, local = np.unique(text[a:b], return_inverse=True)
-                    names.append(int(bucket[a]))
-                    blobs.append(_pack(rid[texts], sig[a:b], local))
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                if len(sig):
+                    yield _dealt(rid, sig, text, buckets)
 
     return run
 
 
+def _dealt(rid: np.ndarray, sig: np.ndarray, text: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, blob): signatures and their texts by bucket; there are some."""
+    bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    sig, text, bucket = sig[order], text[order], bucket[order]
+    cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    names, blobs = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        texts, local = np.unique(text[a:b], return_inverse=True)
+        names.append(int(bucket[a]))
+        blobs.append(_pack(rid[texts], sig[a:b], local))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
 def _pack(rid: np.ndarray, sig: np.ndarray, local: np.ndarray) -> bytes:
     """Signatures (40 bits of each; the bucket tells the rest) and the numbers of their texts, in two bytes where that is enough."""
     head = np.array([len(rid), len(sig), rid[0]], np.int64)
@@ -455,6 +497,56 @@ def _sets_of(width: int):
     return run
 
 
+def _shingle_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that more than one set of a stretch has."""
+    held, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        shingle, count = _most_common(held, 2)
+        return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(count, pa.int64())], ["shingle", "texts"])
+
+    for batch in stream:
+        sets = _read_sets(batch, "set")
+        held += [x.copy() for x in sets]
+        size += sum(map(len, sets))
+        if size >= COUNT_SHINGLES:
+            yield counted()
+            held, size = [], 0
+    if size:
+        yield counted()
+
+
+def _rare_blobs(percent: int, buckets: int, sent):
+    """(region, rid, set) to packed signatures of their rarest shingles."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, (listed, texts) = SizeClasses(percent), sent.value
+        for batch in stream:
+            sets = _read_sets(batch, "set")
+            if sets:
+                at = np.r_[0, np.cumsum([len(s) for s in sets])]
+                region, rid = batch.column("region").to_numpy(), batch.column("rid").to_numpy()
+                yield _dealt(rid, *rare_signatures(np.concatenate(sets), at, region, classes, listed, texts), buckets)
+
+    return run
+
+
+def _finer_regions(sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """(region, rid, set) cut into regions of members that share a rare shingle, directly or by others; members alone are left out."""
+    spark = sets.sparkSession
+    counts = sets.select("set").mapInArrow(_shingle_counts, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
+    top = counts.orderBy(F.desc("texts"), "shingle").limit(COMMON_SHINGLES).toArrow()
+    listed, texts = top["shingle"].to_numpy().view(np.uint64), top["texts"].to_numpy()
+    order = np.argsort(listed)
+    sent = spark.sparkContext.broadcast((listed[order], texts[order]))
+    shingles = (sets.agg(F.sum(F.length("set"))).first()[0] or 0) // 8
+    buckets = max(8, shingles * 2 * (100 - percent) // 100 // BUCKET_ITEMS + 1)
+    blobs = sets.select("region", "rid", "set").mapInArrow(_rare_blobs(percent, buckets, sent), "bucket long, blob binary")
+    links = materialize(blobs.groupBy("bucket").applyInPandas(_cells, "a long, b long").distinct(), "rare-cells", 4 * rows)
+    finer = connected_components(links, rows=4 * rows)
+    return materialize(sets.drop("region").join(finer, F.col("rid") == F.col("node")).select(F.col("root").alias("region"), "rid", "set"), "finer-sets")
+
+
 def _hot_links(sets: DataFrame, sizes: DataFrame, degrees: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Links of the regions above the limit, by one pivot each and tiles of outer documents against all members."""
     pivots = (
@@ -530,15 +622,20 @@ def jaccard_components(
     sets = wanted.select("region", "rid", "text").mapInArrow(_sets_of(width), "region long, rid long, set binary")
     sizes = regions.groupBy(F.col("region").alias("size_region")).agg(F.count(F.lit(1)).alias("size"))
     hot = materialize(sizes.filter(F.col("size") > max_region), "hot-regions", rows_n)
+    cold, extra = sets, None
     if hot.limit(1).count():
         sets = materialize(sets, "region-sets")
         cold = sets.join(hot, F.col("region") == F.col("size_region"), "left_anti")
         large = materialize(sets.join(hot, F.col("region") == F.col("size_region"), "left_semi"), "hot-sets")
-        degrees = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        links = _hot_links(large, hot, degrees, percent, max_region // 2)
-        extra = connected_components(links, rows=4 * rows_n)
-    else:
-        cold, extra = sets, None
+        finer = _finer_regions(large, percent, rows_n)
+        sizes = finer.groupBy(F.col("region").alias("size_region")).agg(F.count(F.lit(1)).alias("size"))
+        hot = materialize(sizes.filter(F.col("size") > max_region), "hot-parts", rows_n)
+        cold = cold.unionByName(finer.join(hot, F.col("region") == F.col("size_region"), "left_anti"))
+        if hot.limit(1).count():
+            large = finer.join(hot, F.col("region") == F.col("size_region"), "left_semi")
+            degrees = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+            links = _hot_links(large, hot, degrees, percent, max_region // 2)
+            extra = connected_components(links, rows=4 * rows_n)
     roots = (
         cold.repartition("region").sortWithinPartitions("region")
         .mapInArrow(_join_regions(percent), "a long, b long").toDF("node", "root")

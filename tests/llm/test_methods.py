@@ -227,6 +227,38 @@ def test_regions_by_shuffle(docs):
     assert a == b
 
 
+def test_members_that_share_common_lines_only_do_not_all_meet(spark, monkeypatch):
+    line = " ".join(f"c{i}" for i in range(40))
+    texts = [f"{line} {' '.join(f'u{i}x{j}' for j in range(16))}" for i in range(60)]
+    texts += [f"{texts[0]} end", f"{texts[1]} end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def one_region(*_):
+        none = lambda n: np.zeros(n, np.uint64)
+        return lambda stream: (jaccard_join._dealt(b.column(0).to_numpy(), none(len(b)), np.arange(len(b)), 8) for b in stream if len(b))
+
+    monkeypatch.setattr(jaccard_join, "_cell_blobs", one_region)
+    monkeypatch.setattr(jaccard_join, "_hot_links", lambda *_: pytest.fail("all members against all"))
+    found = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_components(rows, max_region=16).collect()}
+    assert found == {i: {60: 0, 61: 1}.get(i, i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("percent", [30, 80, 85])
+def test_linked_sets_share_a_rare_signature(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(300):
+        base = rng.integers(1, 1 << 62, rng.integers(1, 60)).astype(np.uint64)
+        near = np.r_[base[rng.random(len(base)) < 0.93], rng.integers(1, 1 << 62, rng.integers(0, 5)).astype(np.uint64)]
+        sets += [np.unique(x) for x in (base, near) if len(x)]
+    h, at = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+    listed = np.sort(rng.choice(np.unique(h), 500, replace=False))
+    sig, of = jaccard_join.rare_signatures(h, at, np.ones(len(sets), np.int64), jaccard_join.SizeClasses(percent), listed, rng.integers(1, 9, 500))
+    names = [set(sig[of == i].tolist()) for i in range(len(sets))]
+    linked = [(i, j) for i in range(len(sets)) for j in range(max(0, i - 2), i) if 100 * len(a := np.intersect1d(sets[i], sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - len(a))]
+    assert len(linked) > 50 and all(names[i] & names[j] for i, j in linked)
+
+
 def test_spread_join_equals_a_join(spark):
     left = spark.range(3000).selectExpr("id AS rid", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 200 END AS k")
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("w")).filter("k != 7").withColumn("v", F.col("k") * 2)
