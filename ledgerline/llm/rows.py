@@ -97,6 +97,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Rows that Spark's Parquet reader decodes at once at most.
+READ_ROWS = 512
+
+
+def bound_reads(spark: SparkSession) -> None:
+    """Let the session decode fewer rows at once: a column of texts is one array a task, doubled until they fit, and the heap grows by it."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READ_ROWS:
+        spark.conf.set(name, str(READ_ROWS))
+
+
 #: A key with more than one part in so many of all rows is dealt to several tasks.
 HOT_PARTS = 1024
 

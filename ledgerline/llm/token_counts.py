@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.rows import materialize, slices, with_row_id
+from ledgerline.llm.rows import bound_reads, slices, with_row_id
 
 #: Values of the public 50k byte-level vocabulary (fixed): free identifier, and its splitting pattern.
 END_OF_DOCUMENT = 50256
@@ -79,14 +79,37 @@ def encode_text(coder, text: str) -> list[int]:
     return out + coder.encode_ordinary(text[at:]) if at else coder.encode_ordinary(text)
 
 
-def encode_to_blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT) -> DataFrame:
-    """Encode each scan partition into one flat stream of identifiers, cut into blocks.
+def _scan(separator: int, dtype: str = "<u2") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with ``tokens`` to batches with ``n`` and ``ends`` instead, behind their other columns."""
 
-    Besides block rows there are manifest rows (file, ordinal, id) that say
-    which document is which in the stream.  The driver reads the vocabulary and
-    sends it (under 1 MB); texts that spell a special token are ordinary text.
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            at = batch.schema.get_field_index("tokens")
+            n, ends = [], []
+            for x in batch.column(at):
+                tokens = np.frombuffer(x.as_buffer(), dtype) if x.is_valid else None
+                n.append(None if tokens is None else len(tokens))
+                ends.append(None if tokens is None else np.flatnonzero(tokens == separator))
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in rest), pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int64()))],
+                [*(batch.schema.names[i] for i in rest), "n", "ends"],
+            )
+
+    return scan
+
+
+def encode_to_blocks(
+    docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT, scanned: bool = False
+) -> DataFrame:
+    """Encode each scan partition into one flat stream of identifiers, cut into blocks (file, block, tokens, docs).
+
+    ``docs`` is the manifest: (rid, id) of the documents whose separators lie in
+    the block, in their order.  The driver reads the vocabulary and sends it
+    (under 1 MB); texts that spell a special token are ordinary text.
     Identifiers take two bytes; a vocabulary that needs more, or that uses the
-    separator, is an error.
+    separator, is an error.  With ``scanned`` the worker that makes a block also
+    searches it, as :func:`find_separators` does, and the tokens stay there.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
@@ -95,6 +118,7 @@ def encode_to_blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
     if separator in known or max(known | {separator}) >= 1 << 16:
         raise ValueError(f"{vocabulary}: identifiers must be below 65536 and leave {separator} free")
     sent = spark.sparkContext.broadcast(data)
+    bound_reads(spark)
 
     def encode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -102,7 +126,7 @@ def encode_to_blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
         coder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=read_ranks(sent.value), special_tokens={})
         file = f"part-{TaskContext.get().partitionId():08d}"
         close = np.array([separator], "<u2")
-        held, n, block, ordinal = [], 0, 0, 0
+        held, ends, manifest, n, block = [], [], [], 0, 0
         for whole in stream:
             for batch in slices(whole, 4 << 20):
                 rid, ids, text = batch.columns
@@ -110,67 +134,54 @@ def encode_to_blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
                     tokens = np.array(encode_text(coder, x), "<u2")
                     held += [tokens, close]
                     n += len(tokens) + 1
-                count = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * count), pa.nulls(count, pa.int64()), pa.nulls(count, pa.binary()), pa.array(range(ordinal, ordinal + count), pa.int64()), rid, ids],
-                    ["file", "block", "tokens", "ordinal", "rid", "id"],
-                )
-                ordinal += count
+                    ends.append(n - 1)
+                manifest.append(pa.StructArray.from_arrays([rid, ids], ["rid", "id"]))
                 if n >= BLOCK_TOKENS:
-                    flat = np.concatenate(held)
+                    flat, rows = np.concatenate(held), pa.concat_arrays(manifest)
                     full = n - n % BLOCK_TOKENS
-                    yield _wide(_cut(file, flat[:full], block), ids.type)
-                    block += full // BLOCK_TOKENS
-                    held, n = [flat[full:]], n - full
+                    out = _with_manifest(_cut(file, flat[:full], block), ends, rows)
+                    yield out
+                    block += out.num_rows
+                    done = int(np.searchsorted(ends, full))
+                    held, ends, manifest, n = [flat[full:].copy()], [e - full for e in ends[done:]], [rows.slice(done)], n - full
         if n:
-            yield _wide(_cut(file, np.concatenate(held), block), ids.type)
+            yield _with_manifest(_cut(file, np.concatenate(held), block), ends, pa.concat_arrays(manifest))
 
     rows = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(encode, f"file string, block long, tokens binary, ordinal long, rid long, id {kind}")
+    manifest = f"docs array<struct<rid: long, id: {dict(rows.dtypes)['id']}>>"
+    if not scanned:
+        return rows.mapInArrow(encode, f"file string, block long, tokens binary, {manifest}")
+    scan = _scan(separator)
+    return rows.mapInArrow(lambda stream: scan(encode(stream)), f"file string, block long, {manifest}, n long, ends array<long>")
 
 
-def _wide(batch: pa.RecordBatch, kind: pa.DataType) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays(
-        [*batch.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, kind)],
-        ["file", "block", "tokens", "ordinal", "rid", "id"],
-    )
+def _with_manifest(blocks: pa.RecordBatch, ends: list[int], rows: pa.StructArray) -> pa.RecordBatch:
+    """Give each block the rows whose separators, at ``ends`` of the stream, lie in it."""
+    at = np.searchsorted(ends, np.arange(blocks.num_rows + 1) * BLOCK_TOKENS)
+    return blocks.append_column("docs", pa.ListArray.from_arrays(pa.array(at, pa.int32()), rows.slice(0, int(at[-1]))))
 
 
 def find_separators(blocks: DataFrame, separator: int = END_OF_DOCUMENT, dtype: str = "<u2") -> DataFrame:
     """Replace the tokens of each block by their number and the separators' places in it; other columns stay."""
-
-    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            at = batch.schema.get_field_index("tokens")
-            n, ends = [], []
-            for x in batch.column(at):
-                tokens = np.frombuffer(x.as_buffer(), dtype) if x.is_valid else None
-                n.append(None if tokens is None else len(tokens))
-                ends.append(None if tokens is None else np.flatnonzero(tokens == separator))
-            rest = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in rest), pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int64()))],
-                [*(batch.schema.names[i] for i in rest), "n", "ends"],
-            )
-
     kept = ", ".join(f"`{c}` {t}" for c, t in blocks.dtypes if c != "tokens")
-    return blocks.mapInArrow(scan, f"{kept}, n long, ends array<long>")
+    return blocks.mapInArrow(_scan(separator, dtype), f"{kept}, n long, ends array<long>")
 
 
 def stitch(scanned: DataFrame) -> DataFrame:
     """(file, ordinal, n_tokens) per document from scanned blocks, by a prefix scan over each file's blocks.
 
     Tokens after a file's last separator are a last document.  The window holds
-    one row per block of one file.
+    one row per block of one file.  Blocks with a manifest ``docs`` give each
+    document its entry as a column ``doc``.
     """
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = scanned.select("file", "block", "n", "ends", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    manifest = [c for c in scanned.columns if c == "docs"]
+    placed = scanned.select("file", "block", "n", "ends", *manifest, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     last = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1))
     carried = placed.select(
         "file",
+        *manifest,
         F.transform("ends", lambda e: e + F.col("base")).alias("ends"),
         F.coalesce(F.max(last).over(before), F.lit(-1)).alias("carry"),
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("first"),
@@ -178,10 +189,11 @@ def stitch(scanned: DataFrame) -> DataFrame:
         (F.col("base") + F.col("n")).alias("total"),
     )
     bounds = F.concat(F.array("carry"), "ends", F.when(F.col("tail") & (F.element_at(F.concat(F.array("carry"), "ends"), -1) < F.col("total") - 1), F.array("total")).otherwise(F.array().cast("array<long>")))
-    cut = carried.select("file", "first", bounds.alias("b"))
+    cut = carried.select("file", "first", *manifest, bounds.alias("b"))
     sizes = F.transform(F.slice("b", F.lit(2), F.size("b") - 1), lambda e, i: e - F.element_at("b", (i + 1).cast("int")) - 1)
-    return cut.select("file", "first", F.posexplode(sizes).alias("k", "n_tokens")).select(
-        "file", (F.col("first") + F.col("k")).cast("long").alias("ordinal"), F.col("n_tokens").cast("long").alias("n_tokens")
+    each = cut.select("file", "first", F.posexplode(F.arrays_zip(sizes.alias("n_tokens"), *manifest)).alias("k", "x"))
+    return each.select(
+        "file", (F.col("first") + F.col("k")).cast("long").alias("ordinal"), F.col("x.n_tokens").cast("long").alias("n_tokens"), *(F.col(f"x.{c}").alias("doc") for c in manifest)
     )
 
 
@@ -192,7 +204,5 @@ def count_document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of many megabytes, also of one word or of white space alone, is encoded
     whole in its task; an empty table gives an empty result.
     """
-    scanned = materialize(find_separators(encode_to_blocks(docs, id_col, text_col, vocabulary)), "separators")
-    counts = stitch(scanned.filter("block IS NOT NULL"))
-    manifest = scanned.filter("ordinal IS NOT NULL").select("file", "ordinal", "rid", "id")
-    return manifest.join(counts, ["file", "ordinal"]).select(F.col("rid").alias("_rid"), "id", "file", "ordinal", "n_tokens")
+    counts = stitch(encode_to_blocks(docs, id_col, text_col, vocabulary, scanned=True))
+    return counts.select(F.col("doc.rid").alias("_rid"), F.col("doc.id").alias("id"), "file", "ordinal", "n_tokens")

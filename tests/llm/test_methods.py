@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerline.llm import exact_dedup, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts
 from ledgerline.llm.html_extraction import declared, extract_main_text, read_page
-from ledgerline.llm.rows import spread_join
+from ledgerline.llm.rows import _written, spread_join, with_row_id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -118,6 +118,32 @@ def test_long_white_space(spark, tmp_path):
         token_counts.encode_to_blocks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", str(large))
 
 
+def test_blocks_are_searched_where_they_are_made(spark, tmp_path):
+    """One Python worker a task, no table in between, and every document's own number across block edges."""
+    block = token_counts.BLOCK_TOKENS
+    long = {40: block, 41: block - 1, 42: 2 * block + 5, 90: 3 * block}
+    want = {i: long.get(i, (i % 3) * 2) for i in range(100)}
+    docs = saved(spark.createDataFrame([(i, ("x\n" * n)[:n]) for i, n in want.items()], "doc_id long, text string"), tmp_path / "d")
+    before, name = len(_written), "spark.sql.parquet.columnarReaderBatchSize"
+    for given, kept in (("4096", "512"), ("100", "100")):
+        spark.conf.set(name, given)
+        counts = token_counts.count_document_tokens(docs)
+        assert spark.conf.get(name) == kept
+    assert len(_written) == before
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    got = counts.collect()
+    assert {r["id"]: r["n_tokens"] for r in got} == want and len(got) == len(want)
+    assert {(r["_rid"], r["id"]) for r in got} == {(r["_rid"], r["doc_id"]) for r in with_row_id(docs).collect()}
+    for file in {r["file"] for r in got}:
+        mine = sorted((r["ordinal"], r["_rid"]) for r in got if r["file"] == file)
+        assert [o for o, _ in mine] == list(range(len(mine))) and mine == sorted(mine, key=lambda x: x[1])
+    blocks = token_counts.encode_to_blocks(docs, "doc_id", "text")
+    apart = token_counts.stitch(token_counts.find_separators(blocks)).collect()
+    assert sorted((r["doc"]["id"], r["n_tokens"]) for r in apart) == sorted(want.items())
+    spark.conf.unset(name)
+
+
 # Quality classifier
 
 
