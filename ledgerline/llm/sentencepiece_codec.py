@@ -10,7 +10,7 @@ different unit through the lattice and joins the result with the units of each
 scan partition, which meet the partition's texts in one task.  :func:`encode`
 does so for the most frequent units only, a lexicon of fixed size that is
 broadcast; other units are folded over the same lattice inside the task that
-meets them.  Both encode every text whole, to the same identifiers.
+meets them, short ones side by side as rows of an array.  Both encode every text whole, to the same identifiers.
 
 The fold depends on the model.  A unigram model takes the path of the highest
 score (Viterbi).  A byte-pair model is defined by merges in order of score, and
@@ -20,9 +20,11 @@ merges the best adjacent pair, leftmost first, until none is an edge.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -44,6 +46,12 @@ LEXICON_CHARS = 24
 CACHE_UNITS = 1 << 19
 #: Longer units are folded in the task that meets them also when all others are joined: their fold takes quadratic time.
 LATTICE_CHARS = 64
+#: Characters of texts whose units are looked up together, but for a longer text.
+GROUP_CHARS = 1 << 21
+#: Units folded side by side at most.
+FOLD_UNITS = 1 << 14
+#: The rank of two parts that make no piece.
+NO_PAIR = np.iinfo(np.int32).max
 #: Units whose lattices are grouped together, about.
 PART_UNITS = 40_000
 
@@ -94,34 +102,65 @@ class PieceModel:
         return [self.first_byte + b for b in char.encode("utf-8", "replace")] if self.first_byte >= 0 else [self.unknown]
 
     def fold(self, unit: str) -> list[int]:
-        """Ids of one unit; long ones take time n log n."""
-        if self.kind == "bpe" and len(unit) <= LEXICON_CHARS:
-            return self._merge_short(unit)
+        """Ids of one unit, in time n log n for a byte-pair model."""
         bounds = self._best_path(unit) if self.kind == "unigram" else self._merges(unit)
         out: list[int] = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             out += self.single(unit[a]) if b == a + 1 else [self.pieces[unit[a:b]][0]]
         return out
 
-    def _merge_short(self, unit: str) -> list[int]:
-        parts, pieces, never = list(unit), self.pieces, (0, float("-inf"))
-        score = [pieces.get(a + b, never)[1] for a, b in zip(unit, unit[1:], strict=False)]
-        while score and (best := max(score)) > never[1]:
-            i = score.index(best)  # the leftmost of equals
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del score[i]
-            if i:
-                score[i - 1] = pieces.get(parts[i - 1] + parts[i], never)[1]
-            if i < len(score):
-                score[i] = pieces.get(parts[i] + parts[i + 1], never)[1]
-        out: list[int] = []
-        for p in parts:
-            if got := pieces.get(p):
-                out.append(got[0])
-            else:
-                out += self.single(p)
+    def fold_all(self, units: Iterable[str]) -> dict[str, bytes]:
+        """Ids (little-endian int32 bytes) of many units; those of a byte-pair model are folded side by side."""
+        out: dict[str, bytes] = {}
+        side = sorted((u for u in units if self.kind == "bpe" and 0 < len(u) <= LEXICON_CHARS), key=len)
+        for i in range(0, len(side), FOLD_UNITS):
+            for size, same in itertools.groupby(side[i : i + FOLD_UNITS], len):
+                self._merge_rows(list(same), size, out)
+        for u in units:
+            if u not in out:
+                out[u] = np.array(self.fold(u), "<i4").tobytes()
         return out
 
+    @functools.cached_property
+    def _pairs(self) -> PairTable:
+        return PairTable(self.pieces)
+
+    def _merge_rows(self, units: list[str], size: int, out: dict[str, bytes]) -> None:
+        """Merge units of one size, a row each, one pair a row and step; a row has as many parts left as all others."""
+        pairs = self._pairs
+        part = pairs.symbols("".join(units)).reshape(-1, size)
+        row = np.arange(len(units))
+        rank, made = pairs.find(part[:, :-1], part[:, 1:])
+        while True:
+            if size > 1:
+                at = rank.argmin(axis=1)  # the leftmost of equals
+                live = rank[np.arange(len(row)), at] < NO_PAIR
+            else:
+                at = live = np.zeros(len(row), bool)
+            if not live.all():
+                self._put_rows([units[i] for i in row[~live].tolist()], part[~live], out)
+                part, rank, made, at, row = part[live], rank[live], made[live], at[live], row[live]
+            if not len(row):
+                return
+            each = np.arange(len(row))
+            part[each, at] = made[each, at]
+            part, rank, made = _without(part, at + 1), _without(rank, at), _without(made, at)
+            size -= 1
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < size - 1)
+            i, j = np.r_[left, right], np.r_[at[left] - 1, at[right]]
+            rank[i, j], made[i, j] = pairs.find(part[i, j], part[i, j + 1])
+
+    def _put_rows(self, units: list[str], part: np.ndarray, out: dict[str, bytes]) -> None:
+        ids, chars = self._pairs.ids[part], self._pairs.chars[part]
+        raw, step = ids.astype("<i4").tobytes(), 4 * part.shape[1]
+        out.update((u, raw[k * step : (k + 1) * step]) for k, u in enumerate(units))
+        for k in np.flatnonzero((ids < 0).any(axis=1)).tolist():
+            unit, at, coded = units[k], 0, []
+            for i, n in zip(ids[k].tolist(), chars[k].tolist(), strict=True):
+                coded += [i] if i >= 0 else self.single(unit[at])
+                at += n
+            out[unit] = np.array(coded, "<i4").tobytes()
+
     def _merges(self, unit: str) -> list[int]:
         n = len(unit)
         after, before = list(range(1, n + 2)), list(range(-1, n + 1))
@@ -164,6 +203,62 @@ class PieceModel:
         return out[::-1]
 
 
+class PairTable:
+    """Pairs of symbols whose texts together are a piece, in a hash table; symbols are the pieces and their characters."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]) -> None:
+        symbol = {p: i for i, p in enumerate(dict.fromkeys([*pieces, *sorted(set().union(*pieces))]), 1)}
+        self.count = len(symbol) + 1  # 0: any other character
+        self.ids = np.full(self.count, -1, np.int32)
+        self.ids[1 : len(pieces) + 1] = [i for i, _ in pieces.values()]
+        self.chars = np.array([1, *map(len, symbol)], np.int32)
+        chars = [c for c in symbol if len(c) == 1]
+        self.char = np.zeros(max(map(ord, chars), default=0) + 2, np.int32)
+        self.char[[ord(c) for c in chars]] = [symbol[c] for c in chars]
+        order = {s: i for i, s in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
+        found = [
+            (symbol[p[:i]] * self.count + symbol[p[i:]], order[s], symbol[p])
+            for p, (_, s) in pieces.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol
+        ]
+        key, rank, made = np.array(found, np.int64).reshape(-1, 3).T
+        bits = max(4, (4 * len(key)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.rank, self.made = np.full(1 << bits, NO_PAIR, np.int32), np.zeros(1 << bits, np.int32)
+        left, slot = np.arange(len(key)), self._slot(key)
+        while len(left):
+            free = left[self.key[slot[left]] < 0]
+            self.key[slot[free]] = key[free]  # of several the last stays
+            left = left[self.key[slot[left]] != key[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.rank[slot], self.made[slot] = rank, made
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def symbols(self, text: str) -> np.ndarray:
+        return self.char[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), len(self.char) - 1)]
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair by score, or NO_PAIR, and the symbol it makes."""
+        key = (a.astype(np.int64) * self.count + b).ravel()
+        slot = self._slot(key)
+        got = self.key[slot]
+        other = np.flatnonzero((got != key) & (got >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.mask
+            got = self.key[slot[other]]
+            other = other[(got != key[other]) & (got >= 0)]
+        return self.rank[slot].reshape(a.shape), self.made[slot].reshape(a.shape)
+
+
+def _without(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row without its item ``at``."""
+    kept = np.ones(rows.shape, bool)
+    kept[np.arange(len(rows)), at] = False
+    return rows[kept].reshape(len(rows), -1) if len(rows) else rows[:, 1:]
+
+
 def units_of(text: str, model: PieceModel) -> list[str]:
     marked = text.replace(" ", SPACE_MARK)
     return UNIT.findall(SPACE_MARK + marked if model.dummy_prefix and marked else marked)
@@ -325,24 +420,35 @@ def _encode_parts(model: PieceModel):
     return run
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[str]]:
+    group, chars = [], 0
+    for x in texts:
+        if group and chars + len(x or "") > GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+        group.append(x or "")
+        chars += len(x or "")
+    if group:
+        yield group
+
+
 def _encode_batches(model: PieceModel):
     """Coded texts of a batch; ``known`` holds identifiers of units, and takes those of units it lacks up to LEXICON_CHARS."""
 
     def code(rid, ids, texts: list[str | None], known: dict[str, bytes]) -> pa.RecordBatch:
         coded, at, same = [], [0], []
-        for x in texts:
-            parts = []
-            for u in units_of(x or "", model):
-                got = known.get(u)
-                if got is None:
-                    got = np.array(model.fold(u), "<i4").tobytes()
-                    if len(u) <= LEXICON_CHARS:
-                        known[u] = got
-                parts.append(got)
-            raw = b"".join(parts)
-            coded.append(raw)
-            at.append(at[-1] + len(raw) // 4)
-            same.append(decode_ids(np.frombuffer(raw, "<i4"), model) == (x or "").replace(SPACE_MARK, " "))
+        for group in _groups(texts):
+            split = [units_of(x, model) for x in group]
+            new = set().union(*split).difference(known)
+            known.update(model.fold_all(new))
+            for x, units in zip(group, split, strict=True):
+                raw = b"".join(map(known.__getitem__, units))
+                coded.append(raw)
+                at.append(at[-1] + len(raw) // 4)
+                same.append(decode_ids(np.frombuffer(raw, "<i4"), model) == x.replace(SPACE_MARK, " "))
+            for u in new:
+                if len(u) > LEXICON_CHARS:
+                    del known[u]
         tokens = pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
         return pa.RecordBatch.from_arrays(
             [rid, ids, tokens, pa.array(np.diff(at), pa.int64()), pa.array(same, pa.bool_())], ["rid", "id", "tokens", "n_tokens", "round_trip"]

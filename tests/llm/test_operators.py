@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SF, table
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 
 from ledgerline.llm import exact_dedup, jaccard_join, mixing, queries, quality_classifier, substring_dedup, suffix_dedup
 from ledgerline.llm.html_extraction import extract_main_text, read_page
-from ledgerline.llm.sentencepiece_codec import PieceModel, build_lexicon, decode_ids, encode, fold_lattice, lattice, units_of
+from ledgerline.llm.sentencepiece_codec import LEXICON_CHARS, PieceModel, _encode_batches, build_lexicon, decode_ids, encode, fold_lattice, lattice, units_of
 from ledgerline.llm.token_counts import END_OF_DOCUMENT, PATTERN, count_document_tokens, find_separators, read_token_files, stitch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,6 +105,36 @@ def test_fold_equals_library_on_any_text(text):
     assert decode_ids(np.array(ids, int), model) == text.replace("▁", " ")
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abteh ▁\n\t日🙂Zéͼ", max_size=40)))
+def test_units_folded_side_by_side_equal_the_library(texts):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    model = PieceModel.load()
+    coded = model.fold_all({u for x in texts for u in units_of(x, model)})
+    assert [np.frombuffer(b"".join(coded[u] for u in units_of(x, model)), "<i4").tolist() for x in texts] == [library.encode(x) for x in texts]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=4), st.integers(-3, -1), max_size=30), st.sets(st.text(alphabet="abcd", max_size=30)))
+def test_units_folded_side_by_side_equal_the_fold_with_equal_scores(scores, units):
+    toy = PieceModel("bpe", {p: (i, float(s)) for i, (p, s) in enumerate(scores.items())}, 100, 99, (), False, 4)
+    assert toy.fold_all(units) == {u: np.array(toy.fold(u), "<i4").tobytes() for u in units}
+
+
+def test_no_short_unit_is_folded_alone(monkeypatch):
+    model = PieceModel.load()
+    texts = ["Each of these wörds is new 日本 ͼ", "x" * (LEXICON_CHARS + 1), None, "", "new words " * 1000]
+    ids, alone = pa.array(range(len(texts))), []
+    fold = PieceModel.fold
+    monkeypatch.setattr(PieceModel, "fold", lambda self, unit: alone.append(unit) or fold(self, unit))
+    known = {}
+    coded = _encode_batches(model)(ids, ids, texts, known)
+    assert alone == ["▁" + "x" * (LEXICON_CHARS + 1)] and alone[0] not in known and "▁new" in known
+    assert coded.column("round_trip").to_pylist() == [True] * 5 and coded.column("n_tokens").to_pylist()[2:4] == [0, 0]
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
