@@ -21,8 +21,14 @@ and y link only if |d(x, p) - d(y, p)| <= r for every pivot p.
 4. A region above ``max_region`` is first cut by the rarest shingles of its
    members (see :func:`rare_signatures`): two linked sets share one of them, so
    members that share none, as those that only have common lines in common, part.
-   What stays above the limit is cut into tiles: its pivot's inner documents are
-   linked to it, and outer documents meet all members tile by tile.
+   Among very many members single shingles meet by chance, so what stays above
+   the limit is cut again by its members' rarest parts (see :func:`rare_parts`),
+   of several deals.  What even then stays is cut into tiles: its pivot's inner
+   documents are linked to it, and outer documents meet all members tile by
+   tile, a few columns of tiles at once, so that disk does not grow with the
+   square of a region.
+
+Region members move as Zstandard frames of their texts, a quarter of their sets.
 """
 
 from __future__ import annotations
@@ -38,16 +44,22 @@ from pyspark.sql import functions as F
 from ledgerline.llm.components import connected_components
 from ledgerline.llm.rows import (
     ascii_lower,
+    filter_place,
+    free_shuffles,
     joined,
     materialize,
     mix64,
+    packed_texts,
+    passes,
     prefix_hash,
     range_hash,
+    row_filter,
     runs_of_key,
     sequence_hash,
     slices,
     spread_join,
     text_of,
+    unpacked,
     with_row_id,
     word_spans,
 )
@@ -62,6 +74,10 @@ COMMON_DOCS = 4
 DEALS = 5
 #: Region memberships up to this many (16 bytes each) are broadcast to fetch the texts.
 BROADCAST_NODES = 200_000
+#: Cuts of what is above the limit: by the rarest shingles, then by the rarest parts of so many deals less one.
+CUTS = 5
+#: Columns of tiles that are written at once, at most.
+TILE_COLUMNS = 4
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +222,54 @@ def rare_signatures(
     return np.concatenate(out), np.r_[owner, owner]
 
 
+def rare_parts(
+    h: np.ndarray, at: np.ndarray, region: np.ndarray, classes: SizeClasses, listed: np.ndarray, texts: np.ndarray, deal: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) of the rarest parts of each set, in its own size class and the next.
+
+    Linked sets that differ in at most K shingles, dealt to m > K parts, differ in
+    at most K of them, so in any order of parts by what they hold they share one of
+    the first K + 1.  Parts with more shingles that are not listed come first: that
+    two sets share those by chance is far less likely than that they share one.
+    ``deal`` chooses the hash, and m as twice or four times K in turn.
+    """
+    n = np.diff(at)
+    own = classes.of(np.maximum(n, 1))
+    seen = np.zeros(len(h), np.int64)
+    if len(listed):
+        where = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+        seen = np.where(listed[where] == h, texts[where], 0)
+    code, mixed = mix64(h + np.uint64(DEALS + deal)) >> np.uint64(33), mix64(h)
+    out, by = [], []
+    for step in (0, 1):
+        k = own + step
+        most, _ = classes.parts(k)
+        left = np.flatnonzero((n > 0) & (most > 0))
+        if not len(left):
+            continue
+        item = _items(at, left)
+        count = most[left] * (2 if deal % 2 else 4) + 2
+        base = np.r_[0, np.cumsum(count)]
+        local = np.repeat(np.arange(len(left)), n[left])
+        slot = base[:-1][local] + (code[item] % count[local].astype(np.uint64)).astype(np.int64)
+        total = np.zeros(base[-1], np.uint64)
+        np.add.at(total, slot, mixed[item])
+        rare = np.minimum(np.bincount(slot, seen[item] == 0, base[-1]).astype(np.int64), 3)
+        least = np.full(base[-1], np.iinfo(np.int64).max)
+        np.minimum.at(least, slot, np.where(seen[item] > 0, seen[item], np.iinfo(np.int64).max - 1))
+        text = np.repeat(np.arange(len(left)), count)
+        place = (np.arange(base[-1]) - base[:-1][text]).astype(np.uint64)
+        name = mix64((k[left][text].astype(np.uint64) << np.uint64(40)) | (place << np.uint64(8)) | np.uint64(DEALS + deal))
+        sig = mix64(mix64(total ^ name) ^ mix64(region[left][text].astype(np.uint64)))
+        order = np.lexsort((sig, least, -rare, text))
+        keep = order[np.arange(base[-1]) - base[:-1][text] <= most[left][text]]
+        out.append(sig[keep])
+        by.append(left[text[keep]])
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(by)
+
+
 def _items(at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Positions of the items of the chosen sets, set after set."""
     n = at[chosen + 1] - at[chosen]
@@ -436,14 +500,31 @@ def _read_sets(table: pa.Table, column: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(column)]
 
 
-def _join_regions(percent: int):
-    """(region, rid, set) sorted by region to (rid, root)."""
+def _unpacked_sets(column: pa.ChunkedArray | pa.Array, width: int) -> list[np.ndarray]:
+    """The set of each packed text."""
+    out, held, size = [], [], 0
+
+    def found() -> list[np.ndarray]:
+        h, at = shingle_sets(np.frombuffer(b"".join(held), np.uint8), np.r_[0, np.cumsum([len(x) for x in held])], width)
+        return [h[a:b].copy() for a, b in zip(at, at[1:], strict=False)]
+
+    for text in unpacked(column):
+        held.append(text)
+        size += len(text)
+        if size >= 4 << 20:
+            out += found()
+            held, size = [], 0
+    return out + (found() if held else [])
+
+
+def _join_regions(percent: int, width: int = 0):
+    """(region, rid, set) sorted by region to (rid, root); with a width (region, rid, packed)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs_of_key(stream):
             rid = table.column("rid").to_numpy()
             order = np.argsort(rid)
-            sets = _read_sets(table, "set")
+            sets = _unpacked_sets(table.column("packed"), width) if width else _read_sets(table, "set")
             region = Region([sets[i] for i in order], percent)
             forest = Forest(len(rid))
             every = np.arange(len(rid))
@@ -486,17 +567,34 @@ def _join_tiles(percent: int):
 
 
 def _sets_of(width: int):
+    """(region, rid, packed) to (region, rid, set)."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for batch in slices(whole, 4 << 20):
-                region, rid, text = batch.columns
-                h, at = shingle_sets(*joined(text), width)
-                blobs = pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            for batch in slices(whole, 1 << 20):
+                region, rid, packed = batch.columns
+                blobs = pa.array([x.tobytes() for x in _unpacked_sets(packed, width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([region, rid, blobs], ["region", "rid", "set"])
 
     return run
 
 
+def _region_texts(rows: DataFrame, regions: DataFrame, n: int, broadcast_nodes: int) -> DataFrame:
+    """(region, rid, packed) of the n members of regions; a filter keeps all other texts out of the exchange."""
+    if n <= broadcast_nodes:
+        wanted = rows.join(F.broadcast(regions.select("node")), F.col("rid") == F.col("node"), "left_semi")
+        return packed_texts(wanted).join(F.broadcast(regions), F.col("rid") == F.col("node")).select("region", "rid", "packed")
+    sent = rows.sparkSession.sparkContext.broadcast(row_filter(regions, n, lambda size: filter_place("node", size)))
+
+    def members(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            yield batch.filter(pa.array(passes(sent.value[0], batch.column("at").to_numpy())))
+
+    placed = rows.select("rid", "text", filter_place("rid", sent.value[1]).alias("at"))
+    met = packed_texts(placed.mapInArrow(members, "rid long, text string, at long"))
+    return met.join(regions, F.col("rid") == F.col("node")).select("region", "rid", "packed")
+
+
 def _shingle_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that more than one set of a stretch has."""
     held, size = [], 0
@@ -516,8 +614,8 @@ def _shingle_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield counted()
 
 
-def _rare_blobs(percent: int, buckets: int, sent):
-    """(region, rid, set) to packed signatures of their rarest shingles."""
+def _rare_blobs(percent: int, buckets: int, sent, deal: int):
+    """(region, rid, set) to packed signatures of their rarest shingles, or (deal above 0) parts."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, (listed, texts) = SizeClasses(percent), sent.value
@@ -526,13 +624,16 @@ def _rare_blobs(percent: int, buckets: int, sent):
             if sets:
                 at = np.r_[0, np.cumsum([len(s) for s in sets])]
                 region, rid = batch.column("region").to_numpy(), batch.column("rid").to_numpy()
-                yield _dealt(rid, *rare_signatures(np.concatenate(sets), at, region, classes, listed, texts), buckets)
+                told = np.concatenate(sets), at, region, classes, listed, texts
+                sig, of = rare_parts(*told, deal) if deal else rare_signatures(*told)
+                if len(sig):
+                    yield _dealt(rid, sig, of, buckets)
 
     return run
 
 
-def _finer_regions(sets: DataFrame, percent: int, rows: int) -> DataFrame:
-    """(region, rid, set) cut into regions of members that share a rare shingle, directly or by others; members alone are left out."""
+def _finer_regions(sets: DataFrame, percent: int, rows: int, deal: int = 0) -> DataFrame:
+    """(region, rid, set) cut into regions of members that share a rare shingle, or part, directly or by others; members alone are left out."""
     spark = sets.sparkSession
     counts = sets.select("set").mapInArrow(_shingle_counts, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
     top = counts.orderBy(F.desc("texts"), "shingle").limit(COMMON_SHINGLES).toArrow()
@@ -541,7 +642,7 @@ def _finer_regions(sets: DataFrame, percent: int, rows: int) -> DataFrame:
     sent = spark.sparkContext.broadcast((listed[order], texts[order]))
     shingles = (sets.agg(F.sum(F.length("set"))).first()[0] or 0) // 8
     buckets = max(8, shingles * 2 * (100 - percent) // 100 // BUCKET_ITEMS + 1)
-    blobs = sets.select("region", "rid", "set").mapInArrow(_rare_blobs(percent, buckets, sent), "bucket long, blob binary")
+    blobs = sets.select("region", "rid", "set").mapInArrow(_rare_blobs(percent, buckets, sent, deal), "bucket long, blob binary")
     links = materialize(blobs.groupBy("bucket").applyInPandas(_cells, "a long, b long").distinct(), "rare-cells", 4 * rows)
     finer = connected_components(links, rows=4 * rows)
     return materialize(sets.drop("region").join(finer, F.col("rid") == F.col("node")).select(F.col("root").alias("region"), "rid", "set"), "finer-sets")
@@ -562,17 +663,24 @@ def _hot_links(sets: DataFrame, sizes: DataFrame, degrees: DataFrame, percent: i
     parts = sizes.join(outer, sizes["size_region"] == outer["r"]).select(
         "r", F.ceil(F.col("size") / chunk).cast("int").alias("mc"), F.ceil(F.col("outers") / chunk).cast("int").alias("oc")
     )
+    parts = materialize(parts, "tiles", 1 << 16)
     spread = judged.join(parts, judged["region"] == parts["r"])
     code = F.xxhash64(F.lit("tile"), "rid")
-    members = spread.select(
-        "region", "rid", "set", F.pmod(code, F.col("mc")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("oc") - 1)).alias("o"), F.lit(False).alias("outer")
-    )
-    outers = spread.filter("NOT inner").select(
-        "region", "rid", "set", F.explode(F.sequence(F.lit(0), F.col("mc") - 1)).alias("m"), F.pmod(code, F.col("oc")).cast("int").alias("o"), F.lit(True).alias("outer")
-    )
-    tiles = members.union(outers).select(F.xxhash64("region", "m", "o").alias("tile"), "rid", "outer", "set")
-    found = tiles.repartition("tile").sortWithinPartitions("tile", "rid", "outer").mapInArrow(_join_tiles(percent), "a long, b long")
-    return judged.filter("inner").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).union(found).filter("a != b")
+    links = judged.filter("inner").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).filter("a != b")
+    for first in range(0, parts.agg(F.max("oc")).first()[0] or 0, TILE_COLUMNS):
+        stop = first + TILE_COLUMNS
+        columns = F.sequence(F.lit(first), F.least(F.col("oc"), F.lit(stop)) - 1)
+        members = spread.filter(F.col("oc") > first).select(
+            "region", "rid", "set", F.pmod(code, F.col("mc")).cast("int").alias("m"), F.explode(columns).alias("o"), F.lit(False).alias("outer")
+        )
+        outers = spread.filter("NOT inner").withColumn("o", F.pmod(code, F.col("oc")).cast("int")).filter((F.col("o") >= first) & (F.col("o") < stop)).select(
+            "region", "rid", "set", F.explode(F.sequence(F.lit(0), F.col("mc") - 1)).alias("m"), "o", F.lit(True).alias("outer")
+        )
+        tiles = members.unionByName(outers).select(F.xxhash64("region", "m", "o").alias("tile"), "rid", "outer", "set")
+        found = tiles.repartition("tile").sortWithinPartitions("tile", "rid", "outer").mapInArrow(_join_tiles(percent), "a long, b long")
+        links = links.union(materialize(found.filter("a != b"), "tile-links"))
+        free_shuffles(judged.sparkSession)
+    return links
 
 
 def jaccard_components(
@@ -617,30 +725,43 @@ def jaccard_components(
     stars = materialize(stars.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).filter("a != b").distinct(), "cells", 4 * rows_n)
 
     regions = materialize(connected_components(stars, rows=4 * rows_n).select(F.col("node"), F.col("root").alias("region")), "regions", rows_n)
-    small = regions.count() <= broadcast_nodes
-    wanted = rows.select("rid", "text").join(F.broadcast(regions) if small else regions, F.col("rid") == F.col("node"))
-    sets = wanted.select("region", "rid", "text").mapInArrow(_sets_of(width), "region long, rid long, set binary")
+    free_shuffles(rows.sparkSession)
+    members = regions.count()
+    texts = _region_texts(rows, regions, members, broadcast_nodes)
     sizes = regions.groupBy(F.col("region").alias("size_region")).agg(F.count(F.lit(1)).alias("size"))
     hot = materialize(sizes.filter(F.col("size") > max_region), "hot-regions", rows_n)
-    cold, extra = sets, None
+    above = lambda df, how: df.join(hot, F.col("region") == F.col("size_region"), how)
+    cold, parted, extra = texts, [], None
     if hot.limit(1).count():
-        sets = materialize(sets, "region-sets")
-        cold = sets.join(hot, F.col("region") == F.col("size_region"), "left_anti")
-        large = materialize(sets.join(hot, F.col("region") == F.col("size_region"), "left_semi"), "hot-sets")
-        finer = _finer_regions(large, percent, rows_n)
-        sizes = finer.groupBy(F.col("region").alias("size_region")).agg(F.count(F.lit(1)).alias("size"))
-        hot = materialize(sizes.filter(F.col("size") > max_region), "hot-parts", rows_n)
-        cold = cold.unionByName(finer.join(hot, F.col("region") == F.col("size_region"), "left_anti"))
-        if hot.limit(1).count():
-            large = finer.join(hot, F.col("region") == F.col("size_region"), "left_semi")
+        texts = materialize(texts, "region-texts")
+        free_shuffles(rows.sparkSession)
+        cold = above(texts, "left_anti")
+        large = materialize(above(texts, "left_semi").mapInArrow(_sets_of(width), "region long, rid long, set binary"), "hot-sets")
+        left = 0
+        for deal in range(CUTS):
+            finer = _finer_regions(large, percent, rows_n, deal)
+            sizes = finer.groupBy(F.col("region").alias("size_region")).agg(F.count(F.lit(1)).alias("size"))
+            hot = materialize(sizes.filter(F.col("size") > max_region), "hot-parts", rows_n)
+            parted.append(above(finer, "left_anti"))
+            large = above(finer, "left_semi")
+            free_shuffles(rows.sparkSession)
+            was, left = left, hot.agg(F.sum("size")).first()[0] or 0
+            if not left or deal > 1 and left > 0.99 * was:
+                break
+        if left:
             degrees = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
             links = _hot_links(large, hot, degrees, percent, max_region // 2)
             extra = connected_components(links, rows=4 * rows_n)
+    # Frames are small for the work they hold, so their bytes do not decide on the tasks.
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + members // 500)
     roots = (
-        cold.repartition("region").sortWithinPartitions("region")
-        .mapInArrow(_join_regions(percent), "a long, b long").toDF("node", "root")
+        cold.repartition(tasks, "region").sortWithinPartitions("region")
+        .mapInArrow(_join_regions(percent, width), "a long, b long").toDF("node", "root")
     )
+    for finer in parted:
+        roots = roots.union(finer.repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions(percent), "a long, b long"))
     roots = materialize((roots.union(extra) if extra is not None else roots).filter("node != root"), "components", rows_n)
+    free_shuffles(rows.sparkSession)
     # Texts are joined to their components by representative, which few share, or many: then in salted parts.
     of = reps.select("rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "copies")
     of = materialize(of, "component-of", rows_n)
@@ -653,8 +774,23 @@ def jaccard_components(
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """``docs`` with the document of the smallest identifier (null last, then the first row) of each component."""
-    found = jaccard_components(docs, id_col, text_col, **options)
+    found = materialize(jaccard_components(docs, id_col, text_col, **options).select("_rid", "id", "component_rid"), "near")
+    free_shuffles(docs.sparkSession)
     first = found.groupBy("component_rid").agg(F.min(F.struct(F.col("id").isNull(), "id", "_rid")).alias("x"))
     kept = first.select(F.col("x._rid").alias("_kept_rid"))
+    dropped = materialize(found.join(kept, F.col("_rid") == F.col("_kept_rid"), "left_anti").select(F.col("_rid").alias("_dropped_rid")), "near-dropped")
+    # Few documents go, so only those that may be among them are exchanged.
+    sent = docs.sparkSession.sparkContext.broadcast(row_filter(dropped, dropped.count(), lambda size: filter_place("_dropped_rid", size)))
+
+    def passing(wanted: bool):
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                yield batch.filter(pa.array(passes(sent.value[0], batch.column(batch.num_columns - 1).to_numpy()) == wanted))
+
+        return run
+
     numbered = with_row_id(docs, "_row_rid")
-    return numbered.join(kept, numbered["_row_rid"] == kept["_kept_rid"], "left_semi").drop("_row_rid")
+    placed = numbered.withColumn("_row_at", filter_place("_row_rid", sent.value[1]))
+    sure = placed.mapInArrow(passing(False), placed.schema).drop("_row_rid", "_row_at")
+    maybe = placed.mapInArrow(passing(True), placed.schema)
+    return sure.unionByName(maybe.join(dropped, F.col("_row_rid") == F.col("_dropped_rid"), "left_anti").drop("_row_rid", "_row_at"))

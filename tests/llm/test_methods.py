@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -285,6 +286,77 @@ def test_linked_sets_share_a_rare_signature(percent):
     assert len(linked) > 50 and all(names[i] & names[j] for i, j in linked)
 
 
+@pytest.mark.parametrize("percent", [30, 80, 85])
+def test_linked_sets_share_a_rare_part(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(300):
+        base = rng.integers(1, 1 << 62, rng.integers(1, 60)).astype(np.uint64)
+        near = np.r_[base[rng.random(len(base)) < 0.93], rng.integers(1, 1 << 62, rng.integers(0, 5)).astype(np.uint64)]
+        sets += [np.unique(x) for x in (base, near) if len(x)]
+    h, at = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+    listed = np.sort(rng.choice(np.unique(h), len(h) // 3, replace=False))
+    linked = [(i, j) for i in range(len(sets)) for j in range(max(0, i - 2), i) if 100 * len(a := np.intersect1d(sets[i], sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - len(a)) and len(a) < len(sets[i] if len(sets[i]) > len(sets[j]) else sets[j])]
+    assert len(linked) > 50
+    for deal in range(1, 5):
+        sig, of = jaccard_join.rare_parts(h, at, np.ones(len(sets), np.int64), jaccard_join.SizeClasses(percent), listed, rng.integers(1, 9, len(listed)), deal)
+        names = [set(sig[of == i].tolist()) for i in range(len(sets))]
+        assert all(names[i] & names[j] for i, j in linked)
+
+
+def test_members_that_meet_in_single_shingles_do_not_all_meet(spark, monkeypatch):
+    n = 60
+    runs = {(i, (i + k) % n): " ".join(f"s{i}x{k}w{w}" for w in range(5)) for i in range(n) for k in range(1, 11)}
+    texts = [" ".join(f"{run} u{i}x{j}" for j, run in enumerate(r for pair, r in runs.items() if i in pair)) for i in range(n)]
+    texts += [f"{texts[0]} end", f"{texts[1]} end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def one_region(*_):
+        none = lambda n: np.zeros(n, np.uint64)
+        return lambda stream: (jaccard_join._dealt(b.column(0).to_numpy(), none(len(b)), np.arange(len(b)), 8) for b in stream if len(b))
+
+    monkeypatch.setattr(jaccard_join, "_cell_blobs", one_region)
+    monkeypatch.setattr(jaccard_join, "COMMON_SHINGLES", 1)
+    monkeypatch.setattr(jaccard_join, "_hot_links", lambda *_: pytest.fail("all members against all"))
+    found = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_components(rows, max_region=16).collect()}
+    assert found == {i: {60: 0, 61: 1}.get(i, i) for i in range(len(texts))}
+
+
+def test_tiles_are_written_a_few_columns_at_once(spark, monkeypatch):
+    n, chunk = 40, 4
+    sets = spark.createDataFrame([(0, i, np.arange(5 * i, 5 * i + 5).astype(np.uint64).tobytes()) for i in range(n)], "region long, rid long, set binary")
+    sizes = spark.createDataFrame([(0, n)], "size_region long, size long")
+    degrees = spark.createDataFrame([(i, 1) for i in range(n)], "node long, degree long")
+    written, write = [], jaccard_join.materialize
+
+    def counted(df, name, *rows):
+        out = write(df, name, *rows)
+        written.extend([out.collect()] if name == "tile-links" else [])
+        return out
+
+    def every_row(_):
+        return lambda stream: (pa.RecordBatch.from_arrays([b.column(1), pa.array(np.where(b.column(2).to_numpy(zero_copy_only=False), -1, -2))], ["a", "b"]) for b in stream)
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    monkeypatch.setattr(jaccard_join, "_join_tiles", every_row)
+    monkeypatch.setattr(jaccard_join, "TILE_COLUMNS", 2)
+    jaccard_join._hot_links(sets, sizes, degrees, 80, chunk)
+    rows = [tuple(r) for part in written for r in part]
+    assert len(written) == 5 and max(map(len, written)) <= 2 * 2 * n + 2 * n
+    # Every outer document (all but the pivot) meets every chunk of members, and every member every chunk of outer documents.
+    assert sorted(rows) == sorted([(i, -1) for i in range(1, n) for _ in range(n // chunk)] + [(i, -2) for i in range(n) for _ in range(n // chunk)])
+
+
+def test_only_members_of_regions_are_exchanged(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate([*texts, f"{texts[7]} end"])), "doc_id long, text string")
+    moved, pack = [], jaccard_join.packed_texts
+    monkeypatch.setattr(jaccard_join, "packed_texts", lambda df: moved.append(df.count()) or pack(df))
+    found = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_components(rows, broadcast_nodes=0).collect()}
+    assert found == {i: 7 if i == 300 else i for i in range(301)}
+    assert moved[0] < 10
+
+
 def test_spread_join_equals_a_join(spark):
     left = spark.range(3000).selectExpr("id AS rid", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 200 END AS k")
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("w")).filter("k != 7").withColumn("v", F.col("k") * 2)
